@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as whitespace, for use inside [...].
@@ -70,38 +70,34 @@ def roman_to_int(numeral: Column) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["total"])
 
 
-def with_term_counts(df: DataFrame, tokens_col: str, out: str = "term_counts") -> DataFrame:
-    """Add ``array<struct<term,tf>>`` counted inside the row.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
 
-    The tokens of a row are sorted, then cut where neighbours differ: one sort
-    and two linear passes, no shuffle. Three columns are built one after the
-    other because an expression used in a lambda is evaluated at each call.
+    An outer expression used inside a lambda is computed at each call of the
+    lambda, so a lambda's own variable must hold it.
     """
-    sorted_col, starts_col = f"__{out}_sorted", f"__{out}_starts"
-    kept = [c for c in df.columns if c != out]
-    s, b = F.col(sorted_col), F.col(starts_col)
-    ordered = df.withColumn(sorted_col, F.sort_array(tokens_col))
-    # posexplode-free cut: position i starts a run when the token before differs.
-    starts = ordered.withColumn(
-        starts_col,
-        F.filter(
-            F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        ),
-    )
-    counted = starts.withColumn(
-        out,
-        F.transform(
-            b,
-            lambda i, j: F.struct(
-                F.get(s, i).alias("term"),
-                (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("bigint").alias("tf"),
-            ),
-        ),
-    )
-    return counted.select(*kept, out)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(tokens_col: Column) -> Column:
+    """``array<struct<term,tf>>`` of an array of tokens, inside the row.
+
+    The tokens are sorted, then cut where neighbours differ: one sort and two
+    linear passes, no shuffle.
+    """
+    def starts(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def counts(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, j: F.struct(
+            F.get(s, i).alias("term"),
+            (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("bigint").alias("tf"),
+        ))
+
+    return let(F.sort_array(tokens_col), lambda s: let(starts(s), lambda at: counts(s, at)))
 
 
 def segment(text: Column, open_segmenter: Callable[[], Callable[[list[str]], list[str]]] | None) -> Column:

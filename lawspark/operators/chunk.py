@@ -118,7 +118,8 @@ def chunk_documents(tree: DataFrame) -> DataFrame:
         F.concat(chapters, F.array(F.lit(None).cast(_element(tree, "chapters")))).alias("slots"),
     )
     lineage = ["doc_id", "document_title", "legal_basis", "chapter_total", "article_total"]
-    ch = docs.select(*lineage, F.posexplode("slots").alias("chapter_pos", "c")).withColumn(
+    # Outer: the inner form adds a filter on the tree's size, and would parse twice.
+    ch = docs.select(*lineage, F.posexplode_outer("slots").alias("chapter_pos", "c")).withColumn(
         "basis", F.col("chapter_pos") == F.col("chapter_total")
     )
     art = ch.select(

@@ -2,7 +2,7 @@
 
 A model is two tables: ``stats(doc_count, avgdl)``, one row, and
 ``vocab(term, df, idf[, term_id])``. Term counts are made inside the row (see
-``with_term_counts``), so a corpus is shuffled by term for the statistics and
+``functions.text.term_counts``), so a corpus is shuffled by term for the statistics and
 not at all for the counts. The vocabulary grows with the corpus and is never
 broadcast by hint; AQE broadcasts it when its measured size is small.
 """
@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lawspark.functions.text import segment, tokens, with_term_counts
+from lawspark.functions import text as tx
+from lawspark.functions.text import let, segment, tokens
+from lawspark.session import scratch_dir
 
 # BM25 constants.
 K1 = 1.5
@@ -44,10 +46,11 @@ def term_counts(
     docs: DataFrame, id_col: str, text_col: str = "text", segmenter: Segmenter | None = None
 ) -> DataFrame:
     """``(id, doc_len, term_counts array<struct<term,tf>>)``, one row per text."""
-    t = tokenise(docs, id_col, text_col, segmenter).withColumn(
-        "doc_len", F.size("tokens").cast("bigint")
+    t = tokenise(docs, id_col, text_col, segmenter)
+    return t.select(
+        id_col, F.size("tokens").cast("bigint").alias("doc_len"),
+        tx.term_counts(F.col("tokens")).alias("term_counts"),
     )
-    return with_term_counts(t, "tokens").select(id_col, "doc_len", "term_counts")
 
 
 def corpus_stats(tokenised: DataFrame) -> DataFrame:
@@ -60,9 +63,19 @@ def corpus_stats(tokenised: DataFrame) -> DataFrame:
     )
 
 
+def distinct_terms(tokenised: DataFrame) -> DataFrame:
+    """Each term once per text.
+
+    The outer form is used where a computed array is exploded: for the inner
+    one Spark adds a filter on the array's size, and would tokenise twice.
+    """
+    terms = tokenised.select(F.explode_outer(F.array_distinct("tokens")).alias("term"))
+    return terms.where(F.col("term").isNotNull())
+
+
 def document_frequency(tokenised: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     """``(term, df)`` over distinct terms of each text, combined before the shuffle."""
-    terms = tokenised.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    terms = distinct_terms(tokenised)
     if only_terms is not None:
         terms = terms.join(only_terms, "term", "left_semi")
     return terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -97,16 +110,33 @@ def fit(
 def with_term_ids(model: BM25Model, partitions: int | None = None) -> BM25Model:
     """Number the terms from 0 in code-point order.
 
-    Terms are range-partitioned and sorted once; the offset of each partition
-    is the number of terms in those before it, which ``zipWithIndex`` takes
-    from one count per partition. No single task sees the whole vocabulary.
+    Terms are range-partitioned and sorted, and written once to the shared
+    scratch folder with their place in their partition; the id is that place
+    plus the number of terms in earlier partitions. The offsets table has one
+    row per partition, so broadcasting it is safe, and no task sees the whole
+    vocabulary. Writing fixes the partition bounds, which are sampled.
     """
     spark = model.vocab.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = model.vocab.repartitionByRange(n, "term").sortWithinPartitions("term")
-    schema = "term string, df bigint, idf double, term_id bigint"
-    numbered = ordered.select("term", "df", "idf").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return BM25Model(model.stats, spark.createDataFrame(numbered, schema), model.k1, model.b)
+    path = scratch_dir(spark, "bm25-terms")
+    # The upper bits of the generated id are the partition, the lower 33 the place in it.
+    made = F.monotonically_increasing_id()
+    (
+        model.vocab.select("term", "df", "idf")
+        .repartitionByRange(n, "term").sortWithinPartitions("term")
+        .withColumn("part", F.shiftright(made, 33))
+        .withColumn("place", made.bitwiseAND(F.lit((1 << 33) - 1)))
+        .write.parquet(path)
+    )
+    placed = spark.read.parquet(path)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.count("*").alias("size")).select(
+        "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset")
+    )
+    numbered = placed.join(F.broadcast(offsets), "part").select(
+        "term", (F.col("place") + F.col("offset")).alias("term_id"), "df", "idf"
+    )
+    return BM25Model(model.stats, numbered, model.k1, model.b)
 
 
 def _weight(idf: Column, tf: Column, doc_len: Column, model: BM25Model) -> Column:
@@ -127,8 +157,8 @@ def weights(
     Unknown terms are dropped but count in the length.
     """
     counts = term_counts(docs, id_col, text_col, segmenter)
-    post = counts.select(id_col, "doc_len", F.inline("term_counts"))
-    known = post.join(model.vocab, "term")
+    post = counts.select(id_col, "doc_len", F.inline_outer("term_counts"))
+    known = post.where(F.col("term").isNotNull()).join(model.vocab, "term")
     ids = ["term_id"] if "term_id" in model.vocab.columns else []
     w = _weight(F.col("idf"), F.col("tf"), F.col("doc_len"), model)
     return known.select(id_col, "term", *ids, w.alias("weight"))
@@ -169,7 +199,7 @@ def query_terms(
 ) -> DataFrame:
     """Distinct terms of all queries."""
     t = tokenise(queries.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
-    return t.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    return distinct_terms(t).distinct()
 
 
 def pair_scores(
@@ -193,14 +223,21 @@ def pair_scores(
         tokens(segment(norm(query_col), segmenter)).alias("q_tokens"),
         tokens(segment(norm(text_col), segmenter)).alias("d_tokens"),
     ).withColumn("doc_len", F.size("d_tokens").cast("bigint"))
-    t = with_term_counts(t, "q_tokens", "q_counts")
-    # Only tokens the query holds are sorted and counted.
-    t = t.withColumn("hits", F.filter("d_tokens", lambda x: F.array_contains("q_tokens", x)))
-    t = with_term_counts(t, "hits", "d_counts").withColumn("tf_of", F.map_from_entries("d_counts"))
-    rows = t.select(*keys, "doc_len", "tf_of", F.explode_outer("q_counts").alias("q")).select(
-        *keys, "doc_len", F.col("q.term").alias("term"), F.col("q.tf").alias("qtf"),
-        F.coalesce(F.col("tf_of")[F.col("q.term")], F.lit(0).cast("bigint")).alias("tf"),
-    )
+    # Of the text, only tokens the query holds are counted.
+    hits = let(F.array_distinct("q_tokens"), lambda q: F.filter(
+        "d_tokens", lambda x: F.array_contains(q, x)
+    ))
+    found = let(tx.term_counts(hits), lambda c: F.transform(
+        tx.term_counts(F.col("q_tokens")),
+        lambda q: F.struct(
+            q["term"].alias("term"), q["tf"].alias("qtf"),
+            F.coalesce(
+                F.get(F.filter(c, lambda d: d["term"] == q["term"]), F.lit(0))["tf"],
+                F.lit(0).cast("bigint"),
+            ).alias("tf"),
+        ),
+    ))
+    rows = t.select(*keys, "doc_len", F.inline_outer(found))
     w = _weight(F.col("idf"), F.col("tf"), F.col("doc_len"), model)
     part = F.when(F.col("idf").isNotNull() & (F.col("tf") > 0), F.col("qtf") * w).otherwise(0.0)
     return (

@@ -189,7 +189,10 @@ def parse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def explode_articles(tree: DataFrame) -> DataFrame:
     """One row per article: ``doc_id, chapter_pos, chapter_number, …, clauses``."""
-    ch = tree.select("doc_id", F.posexplode("chapters").alias("chapter_pos", "c"))
+    # Outer: the inner form adds a filter on the tree's size, and would parse twice.
+    ch = tree.select("doc_id", F.posexplode_outer("chapters").alias("chapter_pos", "c")).where(
+        F.col("chapter_pos").isNotNull()
+    )
     art = ch.select(
         "doc_id", "chapter_pos", F.col("c.chapter_number"), F.col("c.chapter_title"),
         F.posexplode("c.articles").alias("article_pos", "a"),

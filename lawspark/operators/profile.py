@@ -51,7 +51,7 @@ def length_summary(chunks: DataFrame, text_col: str = "text") -> DataFrame:
         (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("avg_chars"),
         F.max("len").alias("max_chars"),
         F.min("len").alias("min_chars"),
-        F.percentile("len", F.lit(0.5), "n").alias("median_chars"),
+        F.percentile("len", F.lit(0.5), F.col("n")).alias("median_chars"),
     ).where(F.col("n_chunks") > 0)
 
 

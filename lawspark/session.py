@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "lawspark", memory: str = "8g") -> SparkSession:
@@ -41,3 +41,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table over all cores; a table of many splits is left alone.
+
+    A file of one row group is read by one task, whatever is computed on it.
+    The rows are shuffled only if the scan has fewer partitions than the
+    cluster has cores, which a large table never has.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared scratch folder and read back.
+
+    For results that several branches of a plan read: they are computed once,
+    and a lost executor costs no recomputation of what led to them.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
