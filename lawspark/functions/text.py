@@ -12,17 +12,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters that count as whitespace, for use inside [...].
-# Java's \s is ASCII only; with these it covers all Unicode whitespace.
+# The characters that count as whitespace, once for use inside
+# [...] of a pattern (Java's \s is ASCII only) and once as a set to trim.
 WS = r"\s\x1c-\x1f\x85\p{Z}"
+WS_POINTS = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+)
 
-_EDGE_WS = rf"^[{WS}]+|[{WS}]+\z"
+_WS_SET = "".join(map(chr, WS_POINTS))
 _NOT_WORD = rf"[^\p{{L}}\p{{N}}_{WS}]"
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace on both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, _EDGE_WS, "")
+    """Remove Unicode whitespace on both ends (plain ``trim`` removes blanks only)."""
+    return F.btrim(text, F.lit(_WS_SET))
 
 
 def words(text: Column) -> Column:

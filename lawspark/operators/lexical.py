@@ -1,23 +1,24 @@
 """BM25: corpus statistics, vocabulary, sparse vectors, pair scores.
 
-A model is two tables: ``stats(doc_count, avgdl)``, one row, and
-``vocab(term, df, idf[, term_id])``. Term counts are made inside the row (see
-``functions.text.term_counts``), so a corpus is shuffled by term for the statistics and
-not at all for the counts. The vocabulary grows with the corpus and is never
-broadcast by hint; AQE broadcasts it when its measured size is small.
+A model is two tables: ``stats(doc_count, total_len, avgdl)``, one row, and
+``vocab(term, df, idf[, term_id])``. Term counts are made inside the row, so a
+corpus is shuffled by term for the statistics and not at all for the counts.
+The vocabulary grows with the corpus and is never broadcast by hint: it is a
+written table, whose size Spark knows when it picks the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawspark.functions import text as tx
 from lawspark.functions.text import let, segment, tokens
-from lawspark.session import scratch_dir
+from lawspark.session import scratch_dir, written
 
 # BM25 constants.
 K1 = 1.5
@@ -33,6 +34,11 @@ class BM25Model:
     k1: float = K1
     b: float = B
 
+    @cached_property
+    def avgdl(self) -> float:
+        """Read once from the one row of statistics."""
+        return self.stats.first()["avgdl"]
+
 
 def tokenise(
     docs: DataFrame, id_col: str, text_col: str = "text", segmenter: Segmenter | None = None
@@ -53,16 +59,6 @@ def term_counts(
     )
 
 
-def corpus_stats(tokenised: DataFrame) -> DataFrame:
-    """``(doc_count, total_len, avgdl)``: empty texts count; 0 for no texts."""
-    n, total = F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("bigint")
-    return tokenised.agg(n.alias("doc_count"), total.alias("total_len")).select(
-        "doc_count", "total_len",
-        F.when(F.col("doc_count") > 0, F.col("total_len") / F.col("doc_count"))
-        .otherwise(0.0).alias("avgdl"),
-    )
-
-
 def distinct_terms(tokenised: DataFrame) -> DataFrame:
     """Each term once per text.
 
@@ -73,12 +69,12 @@ def distinct_terms(tokenised: DataFrame) -> DataFrame:
     return terms.where(F.col("term").isNotNull())
 
 
-def document_frequency(tokenised: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
-    """``(term, df)`` over distinct terms of each text, combined before the shuffle."""
-    terms = distinct_terms(tokenised)
-    if only_terms is not None:
-        terms = terms.join(only_terms, "term", "left_semi")
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+def query_terms(
+    queries: DataFrame, text_col: str = "text", segmenter: Segmenter | None = None
+) -> DataFrame:
+    """Distinct terms of all queries."""
+    t = tokenise(queries.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
+    return distinct_terms(t).distinct()
 
 
 def _idf(df: Column, doc_count: Column) -> Column:
@@ -93,17 +89,44 @@ def fit(
     b: float = B,
     only_terms: DataFrame | None = None,
 ) -> BM25Model:
-    """Statistics and idf of a corpus.
+    """Statistics and idf of a corpus, in one pass over it.
+
+    Each text lists its distinct terms once, and a null that stands for the
+    text itself and carries its length: one aggregation by term, combined
+    before the shuffle, yields the document frequencies and, in the null row,
+    the number and length of the texts (empty ones included). The result is
+    written to the shared scratch folder, so that every use reads it and Spark
+    knows its size when it plans joins with it.
 
     ``only_terms(term)`` keeps the vocabulary to the terms a search asks for:
-    weights of other terms never enter a dot product, so results are the same
-    and the work is one scan with a semi join. The count of texts enters by a
-    scalar subquery: no join, and Spark runs it once.
+    weights of other terms never enter a dot product, so results are the same.
     """
     t = tokenise(docs.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
-    stats = corpus_stats(t)
-    n = stats.select("doc_count").scalar()
-    vocab = document_frequency(t, only_terms).withColumn("idf", _idf(F.col("df"), n))
+    text_itself = F.array(F.lit(None).cast("string"))
+    listed = t.select(
+        F.size("tokens").alias("len"),
+        F.explode_outer(F.concat(text_itself, F.array_distinct("tokens"))).alias("term"),
+    )
+    if only_terms is not None:
+        itself = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))
+        asked = written(only_terms.select("term").unionByName(itself), "terms")
+        listed = listed.join(asked, listed["term"].eqNullSafe(asked["term"]), "left_semi")
+    counted = listed.groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len"),
+    )
+    terms = written(counted, "bm25")
+    total = F.coalesce(F.max("len"), F.lit(0)).cast("bigint")
+    stats = terms.where("term IS NULL").agg(
+        F.coalesce(F.max("df"), F.lit(0).cast("bigint")).alias("doc_count"), total.alias("total_len")
+    ).select(
+        "doc_count", "total_len",
+        F.when(F.col("doc_count") > 0, F.col("total_len") / F.col("doc_count"))
+        .otherwise(0.0).alias("avgdl"),
+    )
+    vocab = terms.where("term IS NOT NULL").select(
+        "term", "df", _idf(F.col("df"), stats.select("doc_count").scalar()).alias("idf")
+    )
     return BM25Model(stats, vocab, k1, b)
 
 
@@ -139,10 +162,18 @@ def with_term_ids(model: BM25Model, partitions: int | None = None) -> BM25Model:
     return BM25Model(model.stats, numbered, model.k1, model.b)
 
 
+def _norm(doc_len: Column, model: BM25Model) -> Column:
+    """Length part of the weight. An empty corpus has no terms to weigh."""
+    relative = doc_len / model.avgdl if model.avgdl else F.lit(0.0)
+    return model.k1 * (1 - model.b + model.b * relative)
+
+
+def _saturated(tf: Column, norm: Column, model: BM25Model) -> Column:
+    return tf * (model.k1 + 1) / (tf + norm)
+
+
 def _weight(idf: Column, tf: Column, doc_len: Column, model: BM25Model) -> Column:
-    avgdl = model.stats.select("avgdl").scalar()
-    norm = model.k1 * (1 - model.b + model.b * (doc_len / avgdl))
-    return idf * (tf * (model.k1 + 1) / (tf + norm))
+    return idf * _saturated(tf, _norm(doc_len, model), model)
 
 
 def weights(
@@ -152,7 +183,7 @@ def weights(
     text_col: str = "text",
     segmenter: Segmenter | None = None,
 ) -> DataFrame:
-    """Postings ``(id, term[, term_id], weight)`` of the known terms.
+    """Postings ``(id, term[, term_id], idf, weight)`` of the known terms.
 
     Unknown terms are dropped but count in the length.
     """
@@ -161,7 +192,7 @@ def weights(
     known = post.where(F.col("term").isNotNull()).join(model.vocab, "term")
     ids = ["term_id"] if "term_id" in model.vocab.columns else []
     w = _weight(F.col("idf"), F.col("tf"), F.col("doc_len"), model)
-    return known.select(id_col, "term", *ids, w.alias("weight"))
+    return known.select(id_col, "term", *ids, "idf", w.alias("weight"))
 
 
 def sparse_vectors(
@@ -194,12 +225,35 @@ def sparse_vectors(
     )
 
 
-def query_terms(
-    queries: DataFrame, text_col: str = "text", segmenter: Segmenter | None = None
-) -> DataFrame:
-    """Distinct terms of all queries."""
-    t = tokenise(queries.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
-    return distinct_terms(t).distinct()
+def search_vectors(
+    docs: DataFrame,
+    queries: DataFrame,
+    model: BM25Model,
+    id_col: str,
+    query_id: str,
+    text_col: str = "text",
+    segmenter: Segmenter | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a search over texts that have no stored vectors.
+
+    The dot product is a sum of ``(query weight * idf) * (document weight / idf)``.
+    With the idf on the side of the few queries, the document side needs no
+    vocabulary: it is made inside the row, and the corpus is not shuffled.
+    """
+    t = tokenise(docs, id_col, text_col, segmenter)
+    norm = _norm(F.size("tokens"), model)
+    parts = let(norm, lambda n: F.transform(
+        tx.term_counts(F.col("tokens")),
+        lambda c: F.struct(c["term"].alias("term"), _saturated(c["tf"], n, model).alias("w")),
+    ))
+    items = t.select(id_col, parts.alias("p")).select(
+        id_col, F.col("p.term").alias("indices"), F.col("p.w").alias("values")
+    )
+    post = weights(queries, model, query_id, text_col, segmenter)
+    q = post.groupBy(query_id).agg(
+        F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("w"))).alias("p")
+    )
+    return items, q.select(query_id, F.col("p.term").alias("indices"), F.col("p.w").alias("values"))
 
 
 def pair_scores(

@@ -187,12 +187,10 @@ def cross_encode(
     return run(query, text)
 
 
-def with_payload(results: DataFrame, items: DataFrame, id_col: str, small: bool = False) -> DataFrame:
+def with_payload(results: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
     """Join text and payload back to result rows.
 
-    ``small=True`` says that the caller knows the results to be few (a checked
-    number of queries times the limit); then they are broadcast and the item
-    table is read in place.
+    Give it written results (``session.written``): they are few, and knowing
+    that, Spark broadcasts them and reads the item table in place.
     """
-    r = F.broadcast(results) if small else results
-    return items.withColumnRenamed(id_col, "id").join(r, "id")
+    return items.withColumnRenamed(id_col, "id").join(results, "id")

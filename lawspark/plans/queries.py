@@ -51,7 +51,7 @@ def bm25_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_sparse_vectors(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
-    v = lexical.sparse_vectors(docs, lexical.fit(docs), "doc_id", key="term")
+    v = lexical.sparse_vectors(docs, lexical.fit(docs), "doc_id", key="term", keep_empty=False)
     post = v.select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("p"))
     return post.select("doc_id", F.col("p.indices").alias("term"), r6("p.values").alias("weight"))
 
@@ -63,25 +63,17 @@ def bm25_pair_score(spark: SparkSession, sf: str) -> DataFrame:
     pairs = docs.select("doc_id", "text", (F.col("doc_id") % n).alias("item_id")).join(
         bench.select("item_id", F.col("text").alias("query")), "item_id"
     )
-    scores = lexical.pair_scores(
-        pairs, lexical.fit(docs, only_terms=lexical.query_terms(bench)), ["item_id", "doc_id"]
-    )
+    scores = lexical.pair_scores(pairs, _model_for(docs, bench), ["item_id", "doc_id"])
     return scores.select("item_id", "doc_id", r6("score").alias("score"))
 
 
-def _sparse_sides(
-    docs: DataFrame, queries: DataFrame, id_col: str, query_id: str
-) -> tuple[DataFrame, DataFrame]:
-    """Vectors of both sides, kept to the terms the queries hold."""
-    model = lexical.fit(docs, only_terms=lexical.query_terms(queries))
-    vec = lambda df, key: lexical.sparse_vectors(df, model, key, key="term", keep_empty=False)
-    return vec(docs, id_col), vec(queries, query_id)
+def _model_for(docs: DataFrame, queries: DataFrame) -> lexical.BM25Model:
+    """Model of a corpus, kept to the terms the queries hold."""
+    return lexical.fit(docs, only_terms=lexical.query_terms(queries))
 
 
-def _document_sides(spark: SparkSession, sf: str):
-    docs = documents(spark, sf)
-    bench = table(spark, sf, "benchmark").select("item_id", "text")
-    return _sparse_sides(docs, bench, "doc_id", "item_id")
+def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return documents(spark, sf), table(spark, sf, "benchmark").select("item_id", "text")
 
 
 def _ranked(df: DataFrame, query: str, item: str) -> DataFrame:
@@ -91,7 +83,9 @@ def _ranked(df: DataFrame, query: str, item: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.sparse_search(*_document_sides(spark, sf), k=14), "item_id", "doc_id")
+    docs, bench = _corpus(spark, sf)
+    sides = lexical.search_vectors(docs, bench, _model_for(docs, bench), "doc_id", "item_id")
+    return _ranked(search.sparse_search(*sides, k=14), "item_id", "doc_id")
 
 
 # --- dense ------------------------------------------------------------------
@@ -144,14 +138,17 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- retrieval --------------------------------------------------------------
 
-def _hybrid(spark: SparkSession, sf: str, limit: int = dense.TOP_K) -> DataFrame:
-    emb, queries = _vectors(spark, sf)
-    items, sparse_queries = _document_sides(spark, sf)
-    return search.hybrid_search(emb, queries, items, sparse_queries, limit)
+def _hybrid(
+    spark: SparkSession, sf: str, model: lexical.BM25Model, limit: int = dense.TOP_K
+) -> DataFrame:
+    emb, vectors = _vectors(spark, sf)
+    docs, bench = _corpus(spark, sf)
+    items, queries = lexical.search_vectors(docs, bench, model, "doc_id", "item_id")
+    return search.hybrid_search(emb, vectors, items, queries, limit)
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid(spark, sf).select(
+    return _hybrid(spark, sf, _model_for(*_corpus(spark, sf))).select(
         F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "total_score",
         r6("dense_score").alias("dense_score"), r6("sparse_score").alias("sparse_score"), "rank",
     )
@@ -167,13 +164,16 @@ def hybrid_dense_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """Fused candidates reranked by their BM25 score against the query."""
-    docs = documents(spark, sf)
-    bench = table(spark, sf, "benchmark").select("item_id", "text")
-    candidates = _hybrid(spark, sf, search.candidate_limit(rerank=True))
+    docs, bench = _corpus(spark, sf)
+    model = _model_for(docs, bench)
+    # Few rows: the depth times the queries. Written, so that Spark knows their
+    # size and reads the documents in place.
+    candidates = written(
+        _hybrid(spark, sf, model, search.candidate_limit(rerank=True)), "candidates"
+    )
     pairs = search.with_payload(candidates, docs, "doc_id").join(
         bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id"
     )
-    model = lexical.fit(docs, only_terms=lexical.query_terms(bench))
     scores = lexical.pair_scores(pairs, model, ["query_id", "id", "rank"])
     scored = scores.withColumn("score", r6("score")).withColumn("total_score", F.lit(0.0))
     best = search.rerank(scored, search.RERANK_TOP_N, "score")
@@ -307,7 +307,8 @@ def lookup_inbound(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lookup_outbound(spark: SparkSession, sf: str) -> DataFrame:
-    return citation.lookup_outbound(supplier_requests(spark, sf), code_chunks(spark, sf)).select(
+    chunks = written(code_chunks(spark, sf), "chunks")
+    return citation.lookup_outbound(supplier_requests(spark, sf), chunks).select(
         "req_id", *_HIT
     )
 
@@ -330,8 +331,9 @@ def _chunk_results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "chunks",
     )
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    items, queries = _sparse_sides(chunks.select("key", "text"), bench, "key", "item_id")
-    found = search.sparse_search(items, queries)
+    texts = chunks.select("key", "text")
+    sides = lexical.search_vectors(texts, bench, _model_for(texts, bench), "key", "item_id")
+    found = written(search.sparse_search(*sides), "found")
     return bench.withColumnRenamed("item_id", "query_id"), search.with_payload(found, chunks, "key")
 
 
@@ -371,7 +373,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     checked = toolcalls.check_calls(toolcalls.extract_calls(responses(spark, sf)))
-    return checked, toolcalls.resolve_calls(checked, code_chunks(spark, sf))
+    return checked, toolcalls.resolve_calls(checked, written(code_chunks(spark, sf), "chunks"))
 
 
 def tool_call_status(spark: SparkSession, sf: str) -> DataFrame:
