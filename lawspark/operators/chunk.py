@@ -33,7 +33,8 @@ def _references(col: Column) -> Column:
 
 def chunk_id(doc_id: Column, pos: Column) -> Column:
     """The same passage of the same document gets the same id in every run."""
-    return F.sha2(F.to_json(F.struct(doc_id.alias("doc_id"), pos.alias("pos"))), 256)
+    place = [pos[n].cast("string") for n in ("chapter", "article", "clause", "point")]
+    return F.sha2(F.concat_ws("/", doc_id.cast("string"), *place), 256)
 
 
 def _shape(slots: DataFrame) -> DataFrame:

@@ -82,8 +82,16 @@ def _scorer(distance: str):
             q = _unit(q)
 
         def score(items, cut: slice) -> np.ndarray:
-            v = _matrix(items.column(1))
-            part = q[cut]
+            column = items.column(1)
+            size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if (size > 0).all():
+                return near(_matrix(column), q[cut])
+            out = np.full((len(size), len(q[cut])), -np.inf)  # items without a vector
+            if (size > 0).any():
+                out[size > 0] = near(_matrix(column.filter(pa.array(size > 0))), q[cut])
+            return out
+
+        def near(v: np.ndarray, part: np.ndarray) -> np.ndarray:
             if distance == "cosine":
                 return _unit(v) @ part.T
             if distance == "dot":
@@ -123,7 +131,5 @@ def nearest(
     usable = queries.where(F.size(vec) > 0)  # a query without a vector finds nothing
     is_distance = name in _DISTANCES
     floor = -threshold if is_distance and threshold is not None else threshold
-    found = top_k(
-        items.where(F.size(items.columns[1]) > 0), usable, _scorer(name), k, digits, floor, **limits
-    )
+    found = top_k(items, usable, _scorer(name), k, digits, floor, **limits)
     return found.withColumn("score", -F.col("score")) if is_distance else found

@@ -83,9 +83,9 @@ def sparse_search(
     share a term with the query are results.
     """
     usable = queries.where(F.size(queries.columns[1]) > 0)
-    return top_k(
-        items.where(F.size(items.columns[1]) > 0), usable, _sparse_scorer, k, digits, **limits
-    )
+    # Items are not filtered here: a condition on a computed vector would move
+    # below it and compute it twice. The scorer passes over empty vectors.
+    return top_k(items, usable, _sparse_scorer, k, digits, **limits)
 
 
 def rrf(
