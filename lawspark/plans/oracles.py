@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lawspark.operators.context import SYSTEM_PROMPT
+
 # Whitespace as in functions.text, for RE2.
 _WS = r"\s\x1c-\x1f\x85\p{Z}"
 _NL = "chr(10)"
@@ -244,6 +246,7 @@ found AS (
     FROM ({_lookup(_TO, 50, _asked('extract_relevant_clause_point'))})
   UNION ALL SELECT req_id, rank, point, clause_number, article_number, article_title, text FROM o_outb)"""
 
+_SYSTEM = SYSTEM_PROMPT.replace("'", "''")
 _VOWELS = "aeiou"
 
 
@@ -348,7 +351,7 @@ ORACLES: dict[str, str] = {
     "rag_prompt": f"""WITH {_FOUND} SELECT query_id, {_prompt('context', 'text')} AS prompt
         FROM ctx JOIN benchmark ON item_id = query_id""",
     "conversation_messages": f"""SELECT conv_id, 0::BIGINT AS part, 0::BIGINT AS turn, 'system' AS role,
-          'Bạn là trợ lý pháp luật.' AS content FROM conversations WHERE turn = 0
+          '{_SYSTEM}' AS content FROM conversations WHERE turn = 0
         UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations
         UNION ALL SELECT conv_id, 2, 0, 'user', {_prompt("''", 'text')} FROM conversations WHERE turn = 0""",
     "tool_calls": f"""WITH {_CALLS} SELECT resp_id, call_id::BIGINT AS call_id, name, known, callable, document,

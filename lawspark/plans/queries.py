@@ -350,9 +350,6 @@ def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-SYSTEM_PROMPT = "Bạn là trợ lý pháp luật."
-
-
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations")
     opening = conv.where("turn = 0")
@@ -360,7 +357,7 @@ def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", context.rag_prompt(F.lit(""), F.col("text")).alias("content")
     )
     history = conv.withColumnRenamed("text", "content")
-    m = context.messages(opening.select("conv_id"), prompts, history, SYSTEM_PROMPT)
+    m = context.messages(opening.select("conv_id"), prompts, history)
     return m.select("conv_id", F.col("part").cast("bigint").alias("part"), "turn", "role", "content")
 
 
