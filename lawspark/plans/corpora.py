@@ -45,7 +45,7 @@ def statute_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     one is an article's heading, one a clause with the next three as its two
     points, one a clause of its own; every 18 open a section, every 36 a chapter.
     """
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     units = docs.select(
         "doc_id", "lang", "source",
         F.array_remove(F.transform(F.split("text", "[.\n]+"), strip), "").alias("units"),

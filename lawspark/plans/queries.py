@@ -25,7 +25,7 @@ def r6(c: Column | str) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 # --- text and lexical -------------------------------------------------------

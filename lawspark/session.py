@@ -43,15 +43,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table over all cores; a table of many splits is left alone.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table over all cores by a unique key; leave a large one alone.
 
     A file of one row group is read by one task, whatever is computed on it.
     The rows are shuffled only if the scan has fewer partitions than the
     cluster has cores, which a large table never has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
