@@ -165,27 +165,35 @@ def answer_records(
     """One JSON record per response: ``{docs, answer, thinking, tool_calls}``.
 
     ``answers(resp_id, answer)``; ``docs(resp_id, rank, id, total_score,
-    sparse_score, dense_score, text, metadata)``; ``thinking(resp_id, thinking
-    array<string>)``. The lists are bounded by top-k and by the response.
+    sparse_score, dense_score, text, metadata)``, the metadata as JSON text;
+    ``thinking(resp_id, thinking array<string>)``. The lists are bounded by
+    top-k and by the response.
     """
     doc = F.struct("id", "total_score", "sparse_score", "dense_score", "text", "metadata")
-    per_doc = docs.groupBy("resp_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", doc.alias("doc")))).alias("d")
-    ).select("resp_id", F.col("d.doc").alias("docs"))
     call = F.struct(F.col("call_id").alias("id"), "name", "args", "status", "results_count", "error")
-    per_call = log.groupBy("resp_id").agg(
-        F.array_sort(F.collect_list(F.struct("call_id", call.alias("call")))).alias("c")
-    ).select("resp_id", F.col("c.call").alias("tool_calls"))
+
+    def gathered(rows: DataFrame, order: str, item: Column, json_field: str, out: str) -> DataFrame:
+        """Items of one response in order; their JSON text becomes part of the record."""
+        pairs = F.array_sort(F.collect_list(F.struct(order, item.alias("item"))))
+        items = F.transform(
+            F.col("p.item"),
+            lambda x: x.withField(json_field, F.try_parse_json(x[json_field])),
+        )
+        return rows.groupBy("resp_id").agg(pairs.alias("p")).select("resp_id", items.alias(out))
+
+    per_doc = gathered(docs, "rank", doc, "metadata", "docs")
+    per_call = gathered(log, "call_id", call, "args", "tool_calls")
     out = answers.join(per_doc, "resp_id", "left").join(per_call, "resp_id", "left")
     if thinking is not None:
         out = out.join(thinking, "resp_id", "left")
     else:
         out = out.withColumn("thinking", F.array().cast("array<string>"))
-    types = {"docs": per_doc, "tool_calls": per_call}
-    lists = [
-        F.coalesce(c, F.array().cast(types[c].schema[c].dataType)).alias(c) for c in ("docs", "tool_calls")
-    ]
+
+    def or_empty(df: DataFrame, name: str) -> Column:
+        return F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
+
     steps = F.coalesce("thinking", F.array().cast("array<string>")).alias("thinking")
-    return out.select(
-        "resp_id", F.to_json(F.struct(lists[0], "answer", steps, lists[1])).alias("record")
+    record = F.struct(
+        or_empty(per_doc, "docs"), "answer", steps, or_empty(per_call, "tool_calls")
     )
+    return out.select("resp_id", F.to_json(record).alias("record"))

@@ -127,14 +127,14 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("lineitem").groupBy("l_orderkey", "l_linenumber")
         .agg(
             F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"),
-            F.max("l_returnflag").alias("flag"),
+            F.bool_or(F.col("l_returnflag") == "R").alias("returned"),
         )
         .select(
             F.col("l_orderkey").alias("o_orderkey"),
             F.col("l_linenumber").alias("point_pos"),
             F.chr(F.col("l_linenumber") + 96).alias("point"),
             F.concat(F.lit("part "), F.col("part").cast("string")).alias("content"),
-            F.when(F.col("flag") == "R", _reference(F.col("supp") + 1)).alias("references"),
+            F.when(F.col("returned"), _reference(F.col("supp") + 1)).alias("references"),
         )
     )
     return chunk_flat(clauses, points, ["o_orderkey"])
@@ -184,7 +184,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     outbound = call(
         '{"name": "extract_clause_point_references", "arguments": {"article": ', art, ', "point": "a"}}'
     )
-    unknown = call('{"name": "search_law", "arguments": {"q": "', "s_name_", '"}}')
+    unknown = call('{"name": "search_law", "arguments": {"q": "', F.col("s_name"), '"}}')
     broken = call('{"name": "extract_clause_point", "arguments": {"article": ')
     missing = call('{"name": "extract_clause_point"}')
     r = F.col("n_regionkey")

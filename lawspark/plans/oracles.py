@@ -246,6 +246,30 @@ found AS (
     FROM ({_lookup(_TO, 50, _asked('extract_relevant_clause_point'))})
   UNION ALL SELECT req_id, rank, point, clause_number, article_number, article_title, text FROM o_outb)"""
 
+_FOLLOW_UP = f"""{_RESOLVED},
+fmt AS (SELECT c.resp_id, c.call_id, coalesce(string_agg({_record('f')}, chr(10) || chr(10) ORDER BY rank),
+    'Không tìm thấy dữ liệu phù hợp.') AS body
+  FROM calls c LEFT JOIN found f ON f.req_id = c.resp_id * 10 + c.call_id WHERE callable GROUP BY ALL),
+fup AS (SELECT resp_id, 'Kết quả từ các công cụ:' || chr(10)
+    || string_agg(body, chr(10) || chr(10) ORDER BY call_id) || chr(10) || chr(10)
+    || 'Dựa trên thông tin bổ sung này, hãy trả lời câu hỏi của tôi một cách chi tiết và chính xác.' AS content
+  FROM fmt GROUP BY resp_id)"""
+
+# The responses as they are written.
+_RESPONSES = """SELECT resp_id, CASE r
+  WHEN 0 THEN 'Tra cứu. ' || d
+  WHEN 1 THEN '<tool_call>' || chr(10) || '{"name": "extract_relevant_clause_point", "arguments": {"document": '
+    || '"Nghị định này", "article": ' || (resp_id + 1) || ', "clause": null}}' || chr(10) || '</tool_call>'
+  WHEN 2 THEN '<tool_call>{"name": "extract_clause_point", "arguments": {"article": </tool_call><tool_call>'
+    || '{"name": "extract_clause_point_references", "arguments": {"article": ' || (resp_id + 1)
+    || ', "point": "a"}}</tool_call>'
+  WHEN 3 THEN '<tool_call>{"name": "search_law", "arguments": {"q": "' || s_name || '"}}</tool_call>'
+    || chr(10) || d || '<tool_call>{'
+  ELSE '<tool_call>{"name": "extract_clause_point"}</tool_call> không cần' END AS response
+FROM (SELECT s_suppkey AS resp_id, s_name, n_regionkey AS r, '<tool_call>{"name": "extract_clause_point", '
+  || '"arguments": {"article": ' || (s_suppkey + 1) || '}}</tool_call>' AS d
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
 _SYSTEM = SYSTEM_PROMPT.replace("'", "''")
 _VOWELS = "aeiou"
 
@@ -361,14 +385,27 @@ ORACLES: dict[str, str] = {
           CASE WHEN callable THEN coalesce(n, 0) END AS results_count,
           CASE WHEN NOT known THEN 'Hàm không tồn tại' WHEN NOT callable THEN 'bad arguments' END AS error
         FROM calls LEFT JOIN cnt ON req_id = resp_id * 10 + call_id""",
-    "tool_call_follow_up": f"""WITH {_RESOLVED},
-        fmt AS (SELECT c.resp_id, c.call_id, coalesce(string_agg({_record('f')}, chr(10) || chr(10) ORDER BY rank),
-          'Không tìm thấy dữ liệu phù hợp.') AS body
-          FROM calls c LEFT JOIN found f ON f.req_id = c.resp_id * 10 + c.call_id WHERE callable GROUP BY ALL)
-        SELECT resp_id, 'Kết quả từ các công cụ:' || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY call_id)
-          || chr(10) || chr(10)
-          || 'Dựa trên thông tin bổ sung này, hãy trả lời câu hỏi của tôi một cách chi tiết và chính xác.' AS content
-        FROM fmt GROUP BY resp_id""",
+    "tool_call_follow_up": f"""WITH {_FOLLOW_UP} SELECT resp_id, content FROM fup""",
+    "tool_call_messages": f"""WITH {_FOLLOW_UP}
+        SELECT resp_id, 3::BIGINT AS part, 0::BIGINT AS turn, 'assistant' AS role, response AS content
+          FROM fup JOIN ({_RESPONSES}) USING (resp_id)
+        UNION ALL SELECT resp_id, 4, 0, 'user', content FROM fup""",
+    "answer_records": f"""WITH {_RESOLVED}, cnt AS (SELECT req_id, count(*) AS n FROM found GROUP BY req_id),
+        js AS (SELECT resp_id, string_agg('{{"id":' || call_id || ',"name":"' || name || '","args":' || CASE
+            WHEN name = 'search_law' THEN '{{"q":"' || s_name || '"}}' WHEN NOT callable THEN '{{}}'
+            WHEN name = 'extract_clause_point' THEN '{{"article":' || article || '}}'
+            WHEN name = 'extract_relevant_clause_point'
+              THEN '{{"article":' || article || ',"clause":null,"document":"Nghị định này"}}'
+            ELSE '{{"article":' || article || ',"point":"a"}}' END || CASE
+            WHEN callable THEN ',"status":"success","results_count":' || coalesce(n, 0)
+            WHEN known THEN ',"status":"error","error":"bad arguments"'
+            ELSE ',"status":"error","error":"Hàm không tồn tại"' END || '}}', ',' ORDER BY call_id) AS calls
+          FROM calls JOIN supplier ON resp_id = s_suppkey LEFT JOIN cnt ON req_id = resp_id * 10 + call_id
+          GROUP BY resp_id)
+        SELECT s_suppkey AS resp_id, '{{"docs":[{{"id":"' || s_suppkey || '","total_score":0.5,"sparse_score":0.5,'
+          || '"dense_score":0.5,"text":"' || s_name || '","metadata":{{"article":' || s_suppkey || '}}}}],"answer":"'
+          || s_name || '","thinking":[],"tool_calls":[' || coalesce(calls, '') || ']}}' AS record
+        FROM supplier LEFT JOIN js ON resp_id = s_suppkey""",
     "points_build": f"""WITH {_bm25('documents', 'doc_id')},
         ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM idf),
         v AS (SELECT id, count(*) AS n, min(term_id) AS lo, max(term_id) AS hi, sum(w) AS s

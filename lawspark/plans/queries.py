@@ -383,6 +383,24 @@ def tool_call_follow_up(spark: SparkSession, sf: str) -> DataFrame:
     return toolcalls.follow_up(*_resolved(spark, sf))
 
 
+def tool_call_messages(spark: SparkSession, sf: str) -> DataFrame:
+    m = toolcalls.follow_up_messages(responses(spark, sf), tool_call_follow_up(spark, sf))
+    return m.select("resp_id", F.col("part").cast("bigint").alias("part"), "turn", "role", "content")
+
+
+def answer_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One record per supplier's response, its name standing for the answer."""
+    answers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("resp_id"), F.col("s_name").alias("answer")
+    )
+    docs = answers.select(
+        "resp_id", F.lit(1).cast("bigint").alias("rank"), F.col("resp_id").cast("string").alias("id"),
+        *[F.lit(0.5).alias(f"{n}_score") for n in ("total", "sparse", "dense")],
+        F.col("answer").alias("text"), F.to_json(F.struct(F.col("resp_id").alias("article"))).alias("metadata"),
+    )
+    return toolcalls.answer_records(answers, docs, toolcalls.call_log(*_resolved(spark, sf)))
+
+
 # --- points -----------------------------------------------------------------
 
 def _document_points(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -469,6 +487,8 @@ QUERIES: dict[str, Query] = {
     "tool_calls": tool_calls,
     "tool_call_status": tool_call_status,
     "tool_call_follow_up": tool_call_follow_up,
+    "tool_call_messages": tool_call_messages,
+    "answer_records": answer_records,
     "points_build": points_build,
     "points_upsert": points_upsert,
 }

@@ -128,7 +128,7 @@ def test_answer_records(spark, calls):
     log = toolcalls.call_log(checked, results)
     answers = spark.createDataFrame([(1, "không"), (2, "có")], "resp_id bigint, answer string")
     docs = spark.createDataFrame(
-        [(2, 2, "b", 0.1, 0.0, 0.0, "tb", "{}"), (2, 1, "a", 0.2, 0.0, 0.0, "ta", "{}")],
+        [(2, 2, "b", 0.1, 0.0, 0.0, "tb", "{}"), (2, 1, "a", 0.2, 0.0, 0.0, "ta", '{"point": "đ", "is_point": true}')],
         "resp_id bigint, rank bigint, id string, total_score double, sparse_score double, "
         "dense_score double, text string, metadata string",
     )
@@ -137,3 +137,8 @@ def test_answer_records(spark, calls):
     assert json.loads(got[1]) == {"docs": [], "answer": "không", "thinking": [], "tool_calls": []}
     two = json.loads(got[2])
     assert [d["id"] for d in two["docs"]] == ["a", "b"] and [c["id"] for c in two["tool_calls"]] == [1, 2]
+    assert two["docs"][0]["metadata"] == {"point": "đ", "is_point": True}
+    assert two["tool_calls"][0] == {
+        "id": 1, "name": "extract_clause_point", "args": {"article": 2}, "status": "success",
+        "results_count": min(50, sum(c[3] == 2 for c in CHUNKS)),
+    }
