@@ -103,7 +103,9 @@ def test_pair_scores(spark, model):
     assert got == pytest.approx({i: plain.score(q, t) for i, (q, t) in enumerate(pairs)})
 
 
-def test_only_terms_changes_nothing_for_those_terms(spark, docs, model):
+@pytest.mark.parametrize("max_terms", [100_000, 0])
+def test_only_terms_changes_nothing_for_those_terms(spark, docs, model, monkeypatch, max_terms):
+    monkeypatch.setattr(lexical, "MAX_TERMS", max_terms)
     asked = spark.createDataFrame([("b",), ("nowhere",)], "term string")
     part = lexical.fit(docs, only_terms=asked)
     assert [(r.term, r.df) for r in part.vocab.collect()] == [("b", 3)]
