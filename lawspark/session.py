@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +31,12 @@ def local_session(cores: int | str = "*", app: str = "lawspark", memory: str = "
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when that setting is missing and the
-    session runs on this one machine.
+    Where that is unset, as in tests, the warehouse folder serves, which Spark
+    itself needs to be shared.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.gettempdir()
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
