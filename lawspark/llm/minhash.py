@@ -10,9 +10,9 @@ Within a bucket the candidate links form stars: every member is linked with
 the smallest one, then members of buckets that still hold several components
 with the next ``CENTRES`` smallest. A link counts only after the full sets
 confirm it. Buckets with still more components are crowds of texts that share
-a passage; their members are hashed again with a fresh permutation and banded
-inside their bucket, level by level, until no crowd is left. So no bucket is
-capped, and no bucket emits all its pairs.
+a passage; the members of all crowds are hashed again with a fresh permutation
+into more and stricter bands and compared with more centres, level by level,
+until no crowd is left. So no bucket is capped, and none emits all its pairs.
 """
 
 from __future__ import annotations
@@ -29,26 +29,27 @@ from lawspark.llm import text as T
 from lawspark.llm.components import components
 from lawspark.session import written
 
-BINS = 128
-ROWS = 4  # bins in a band; at similarity 0.8 a pair misses all 32 bands with 5e-8
-CENTRES = 16
-_SHIFT = np.uint64(64 - 7)  # log2(BINS) = 7
-_EDGE = np.arange(BINS, dtype=np.uint64) << _SHIFT
-_PROBE = np.random.default_rng(7).integers(0, BINS, (4096, BINS))
+BINS, ROWS = 128, 4  # 32 bands of 4 bins: at similarity 0.8 a pair misses all with 5e-8
+CROWD_BINS, CROWD_ROWS = 512, 8  # for crowds, 64 bands of 8 bins: with 8e-6
+CENTRES, GROWTH = 16, 8  # centres of a bucket, times this at each further level
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``BINS`` minima per sorted, non-empty set of hashes."""
-    out = np.zeros((len(sets), BINS), np.uint64)
-    full = np.zeros((len(sets), BINS), bool)
+def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
+    """One row of minima per sorted, non-empty set of hashes; ``bins`` is a power of two."""
+    shift, own = np.uint64(65 - bins.bit_length()), np.arange(bins, dtype=np.uint64)
+    edge = own << shift
+    out = np.zeros((len(sets), bins), np.uint64)
+    full = np.zeros((len(sets), bins), bool)
     for i, h in enumerate(sets):
-        at = np.searchsorted(h, _EDGE)
+        at = np.searchsorted(h, edge)
         found = h[np.minimum(at, len(h) - 1)]
-        full[i] = (at < len(h)) & ((found >> _SHIFT) == np.arange(BINS, dtype=np.uint64))
+        full[i] = (at < len(h)) & ((found >> shift) == own)
         out[i] = found
     open_ = np.flatnonzero(~full.all(axis=1))
     filled = full[open_].copy()
-    for probe in _PROBE:
+    rng = np.random.default_rng(7)
+    for _ in range(32 * bins):
+        probe = rng.integers(0, bins, bins)
         if not len(open_):
             break
         take = ~filled & full[open_][:, probe]
@@ -136,7 +137,9 @@ def _resign(level: int):
         salt = np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         for b in batches:
             sets = [np.sort(T.mix(np.array(s, np.int64).view(np.uint64) ^ salt)) for s in b.column("items").to_pylist()]
-            rows = bands(signatures(sets)) if sets else np.zeros((0, BINS // ROWS), np.int64)
+            rows = np.zeros((0, CROWD_BINS // CROWD_ROWS), np.int64)
+            if sets:
+                rows = bands(signatures(sets, CROWD_BINS), CROWD_ROWS)
             yield pa.record_batch([b.column("node"), _list_array(rows)], names=["node", "bands"])
 
     return run
@@ -191,7 +194,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "key", "text")
     sets = written(texts.mapInArrow(_sets(k), "node long, items array<long>").dropDuplicates(["node"]), "sets")
 
-    links, level = spark.createDataFrame([], "a long, b long"), 0
+    links, level, wide = spark.createDataFrame([], "a long, b long"), 0, CENTRES
     while True:
         star = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
         links = written(links.unionByName(_verified(star.distinct(), sets, percent)), "links")
@@ -200,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         later = open_.where("node > centre").select("bucket", "node", "root")
         w = Window.partitionBy("bucket").orderBy("node")
         centres = written(
-            later.withColumn("n", F.row_number().over(w)).where(F.col("n") <= CENTRES)
+            later.withColumn("n", F.row_number().over(w)).where(F.col("n") <= wide)
             .select("bucket", F.col("node").alias("a"), F.col("root").alias("of"), "n"),
             "centres",
         )
@@ -210,17 +213,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         links = written(links.unionByName(_verified(pairs, sets, percent)), "links")
         label = components(links)
-        full = centres.where(F.col("n") == CENTRES).select("bucket", F.col("a").alias("used"))
+        full = centres.where(F.col("n") == wide).select("bucket", F.col("a").alias("used"))
         crowd = _unresolved(members.join(full, "bucket"), label).where("node > used").select("bucket", "node")
-        crowd = written(_shared(crowd).select("bucket", "node"), "crowds")
+        crowd = written(_shared(crowd).select("node").distinct(), "crowds")
         if crowd.isEmpty():
             break
-        level += 1
-        fresh = sets.join(crowd.select("node").distinct(), "node", "left_semi").mapInArrow(
-            _resign(level), "node long, bands array<long>"
+        level, wide = level + 1, wide * GROWTH
+        fresh = sets.join(crowd, "node", "left_semi").mapInArrow(_resign(level), "node long, bands array<long>")
+        members = written(
+            _shared(fresh.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))), "buckets"
         )
-        inner = crowd.join(fresh, "node").select("node", "bucket", F.explode("bands").alias("band"))
-        members = written(_shared(inner.select("node", F.xxhash64("bucket", "band").alias("bucket"))), "buckets")
     return _result(sig, nodes, label)
 
 
