@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawspark.llm import minhash
-from lawspark.llm.tables import table
+from lawspark.llm import decontam, licenses, media, minhash, packing, pii, quality, toxicity, urls, warc
+from lawspark.llm.tables import crc32_of_id, table
+from lawspark.session import scratch_dir
+
+# The rules of the contract.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+# Ours: hosts with one of these words label their urls "block" for training.
+SPAM_WORDS = ("casino", "pills", "adult", "spam")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_path())
+    narrow = pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "piece", "deal"
+    )
+    return packing.place(narrow).drop("piece")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +34,85 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rows = urls.features(pages)
+    rows = rows.join(urls.suffix_statistics(rows), "__suffix")
+    host = F.col("host")
+    # Labelled urls: by the rules, else by words of the host; the others count as allowed.
+    label = F.when(host.rlike("|".join(SPAM_WORDS)), 1).otherwise(0)
+    rule = urls.rule_of(host, F.col("path"), URL_RULES)
+    for name, said in URL_RULES.items():
+        label = F.when(rule == name, int(said == "block")).otherwise(label)
+    judged = urls.judge(rows, urls.train(rows, label), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.is_contaminated().alias("contaminated"),
+    )
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), crc32_of_id() % 3 != 1)
+    return _judged(quality.score(docs, model), crc32_of_id() % 3 == 1, 0.5)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.store(table(spark, sf_dir, "pages"))
+    found = warc.index(spark, archive)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"), scratch_dir(spark, "media"))
+    return media.inspect(stored).drop("embedded")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc32_of_id() % 4 != 2)
+    scored = toxicity.score(docs, model)
+    return _judged(scored, crc32_of_id() % 4 == 2, 0.3, "spans")
+
+
+def _judged(scored: DataFrame, held_out, threshold: float, *more: str) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *more,
+    )
+
+
 QUERIES = {
-    "op2_minhash": op2_minhash,
+    f.__name__: f
+    for f in (
+        op1_packing, op2_minhash, op3_urls, op4_decontam, op5_licenses, op6_quality, op7_warc, op8_pii, op9_media,
+        op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
