@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawspark.llm.decontam import words
@@ -115,15 +115,13 @@ def rules() -> list[Rule]:
     return out
 
 
-def _rule_array() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-            F.lit(f"(?is){r.pattern}").alias("pattern"), F.lit(r.priority).alias("priority"),
-            F.lit(r.confidence).alias("confidence"),
-        )
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules as a table, one row each; their number is fixed."""
+    rows = ", ".join(
+        f"({i}, '{r.label}', '{r.keyword}', r'(?is){r.pattern}', {r.priority}, {r.confidence}D)"
         for i, r in enumerate(rules())
-    ])
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(i, label, keyword, pattern, priority, confidence)")
 
 
 def gated(docs: DataFrame) -> DataFrame:
@@ -142,24 +140,27 @@ def gated(docs: DataFrame) -> DataFrame:
 
 def _base(rows: DataFrame) -> DataFrame:
     """``row, n_base, first_word, last_word, base`` of gated rows with a base phrase."""
-    w = rows.select("row", words(F.col("text")).alias("w"))
-    places = [_places(phrase.split(), label) for phrase, label in BASE.items()]
-    found = w.select("row", F.concat(*places).alias("p")).where(F.size("p") > 0)
+    def places(w: Column) -> Column:
+        return F.concat(*[_places(w, phrase.split(), label) for phrase, label in BASE.items()])
+
+    # An array of one binds the words, so that they are made once per text.
+    p = F.transform(F.array(words(F.col("text"))), places)[0]
+    found = rows.select("row", p.alias("p")).where(F.size("p") > 0)
     return found.select(
         "row", F.size("p").cast("long").alias("n_base"), F.array_min("p.at").alias("first_word"),
         F.array_max("p.at").alias("last_word"), F.array_sort(F.array_distinct("p.label")).alias("base"),
     )
 
 
-def _places(parts: list[str], label: str) -> Column:
+def _places(w: Column, parts: list[str], label: str) -> Column:
     """Where the words ``parts`` stand consecutively in ``w``."""
     def stands(i: Column) -> Column:
         out = F.lit(True)
         for k, part in enumerate(parts):
-            out = out & F.try_element_at("w", i + (k + 1)).eqNullSafe(F.lit(part))
+            out = out & F.try_element_at(w, i + F.lit(k + 1)).eqNullSafe(F.lit(part))
         return out
 
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - len(parts), F.lit(0)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - len(parts), F.lit(0)))
     return F.transform(
         F.filter(starts, stands), lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))
     )
@@ -167,22 +168,22 @@ def _places(parts: list[str], label: str) -> Column:
 
 def detections(rows: DataFrame) -> DataFrame:
     """``row, label, start, end, priority, confidence``: matches that none of at least their priority contains."""
-    asked = rows.select("row", "text", F.lower("text").alias("low"), _rule_array().alias("rules"))
-    tried = asked.select(
-        "row", "text", F.explode(F.filter("rules", lambda r: F.col("low").contains(r["keyword"]))).alias("r")
+    # Which keywords a text has, then the rules of those.
+    words_asked = F.array(*[F.lit(k) for k in sorted({r.keyword for r in rules()})])
+    low = rows.select("row", "text", F.lower("text").alias("low"))
+    keyed = low.select("row", "text", F.explode(F.filter(words_asked, lambda k: F.col("low").contains(k))).alias("keyword"))
+    tried = keyed.join(F.broadcast(rule_table(rows.sparkSession)), "keyword")
+    hit = tried.where(F.rlike("text", F.col("pattern"))).select(
+        "row", "i", "label", "priority", "confidence", F.expr("regexp_extract_all(text, pattern, 0)").alias("m"),
+        F.expr("split(text, pattern)").alias("gap"),
     )
-    hit = tried.where(F.col("text").rlike(F.col("r.pattern"))).select(
-        "row", "r", F.expr("regexp_extract_all(text, r.pattern, 0)").alias("m"),
-        F.expr("split(text, r.pattern)").alias("gap"),
-    )
-    each = hit.select("row", "r", F.posexplode(F.expr(
+    rule = ["row", "i", "label", "priority", "confidence"]
+    each = hit.select(*rule, F.posexplode(F.expr(
         "transform(m, (x, i) -> struct(length(gap[i]) as before, length(x) as size))"
     )).alias("k", "x"))
-    so_far = Window.partitionBy("row", "r.i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("row", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("x.before") + F.col("x.size")).over(so_far)
-    spans = each.select(
-        "row", "r.i", "r.label", "r.priority", "r.confidence", end.alias("end"), (end - F.col("x.size")).alias("start")
-    )
+    spans = each.select(*rule, end.alias("end"), (end - F.col("x.size")).alias("start"))
     before = (
         Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "i")
         .rowsBetween(Window.unboundedPreceding, -1)

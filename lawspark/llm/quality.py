@@ -123,9 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = P
     The sample is bounded, and so is the weight table that comes back.
     Without labels all weights are 0, and every score is 0.5.
     """
-    sample = with_texts(docs, labelled_sample(labels, "quality", usable, per_class))
+    sample = with_texts(docs, labelled_sample(labels, "quality", usable, (per_class, per_class)))
     vectors = sample.mapInArrow(_vectors, "doc_id long, y int, at array<long>, value array<double>")
-    fitted = vectors.groupBy(F.lit(1)).applyInArrow(_fit, "at long, w double").toArrow()
+    fitted = vectors.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_fit, "at long, w double").toArrow()
     w = np.zeros((1 << BITS) + 1)
     w[fitted.column("at").to_numpy()] = fitted.column("w").to_numpy()
     return w

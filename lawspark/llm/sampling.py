@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(labels: DataFrame, label: str, usable: Column, per_class: int) -> DataFrame:
-    """``doc_id, y`` of at most ``per_class`` labelled rows of each class.
+def labelled_sample(labels: DataFrame, label: str, usable: Column, bounds: tuple[int, int]) -> DataFrame:
+    """``doc_id, y`` of at most ``bounds[y]`` labelled rows of each class.
 
     Labels other than 0 and 1, null ids and rows that ``usable`` excludes are
     left out; of several labels of one id the larger holds.
@@ -21,7 +21,7 @@ def labelled_sample(labels: DataFrame, label: str, usable: Column, per_class: in
     out = None
     for y in (0, 1):
         # five standard deviations below the bound, so that chance does not pass it
-        share = (per_class - 5 * per_class**0.5) / max(1, count.get(y, 0))
+        share = (bounds[y] - 5 * bounds[y] ** 0.5) / max(1, count.get(y, 0))
         some = known.where((F.col("y") == y) & (order < share))
         out = some if out is None else out.unionByName(some)
     return out

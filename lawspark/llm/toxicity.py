@@ -2,10 +2,11 @@
 
 Labels come per document, so tokens are labelled first: in a toxic training
 document a word is a toxic token if the word, or its first four or five bytes,
-is far more frequent in toxic than in other training documents. On windows of
-these labelled tokens a two-state chain is trained by gradient steps on its
-log-likelihood; features are the hashed word and its two prefixes, and an L1
-penalty leaves few of them.
+is far more frequent in toxic than in other training documents (by its odds and
+by a likelihood-ratio test). On windows of these labelled tokens a two-state
+chain is trained by gradient steps on its log-likelihood, where the windows
+without toxic tokens are thinned out and weigh as many as they stand for.
+Features are the hashed word and its two prefixes; small weights are dropped.
 
 Most tokens then have no weight at all. Between two tokens with weight the
 chain only repeats one fixed step, so forward and backward sums jump over the
@@ -28,10 +29,10 @@ from lawspark.llm import text as T
 from lawspark.llm.sampling import labelled_sample, with_texts
 
 BITS = 18
-PER_CLASS = 2000  # training documents of each class at most
+SAMPLE = (6000, 2000)  # other and toxic training documents, at most
 WINDOW = 32
 CLEAN_WINDOWS = 3  # windows without toxic tokens kept, for each one with some
-MIN_ODDS, MIN_DOCS = 2.5, 4
+MIN_ODDS, MIN_RATIO = 2.5, 25.0  # log-odds, likelihood ratio
 STEPS, RATE, L1 = 60, 0.3, 2e-5
 _GAPS = 256  # powers of the gap matrix kept; beyond, the last equals the limit
 _BUCKET = np.uint64(64 - BITS)
@@ -68,12 +69,14 @@ def _label(docs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
         seen[label, np.unique(f)] += 1
     total = np.maximum(1, np.bincount(y, minlength=2))
     odds = np.log((seen[1] + 0.5) / total[1]) - np.log((seen[0] + 0.5) / total[0])
-    toxic = (odds >= MIN_ODDS) & (seen[1] >= MIN_DOCS)
+    expected = np.maximum(1e-9, (seen[0] + seen[1]) * total[1] / total.sum())
+    ratio = 2 * seen[1] * np.log(np.maximum(1e-9, seen[1]) / expected)
+    toxic = (odds >= MIN_ODDS) & (ratio >= MIN_RATIO)
     return [(toxic[f].any(axis=1) & (label == 1)).astype(np.int64) for f, label in zip(docs, y, strict=True)]
 
 
-def _windows(docs, tags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, tags and mask of windows: those with toxic tokens, and some without."""
+def _windows(docs, tags) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags, mask and weight of windows: those with toxic tokens, and some without."""
     fs, ts = [], []
     for f, t in zip(docs, tags, strict=True):
         for at in range(0, len(t), WINDOW):
@@ -82,17 +85,19 @@ def _windows(docs, tags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     has = np.array([t.any() for t in ts], bool)
     clean = np.flatnonzero(~has)
     rng = np.random.default_rng(5)
-    clean = rng.permutation(clean)[: CLEAN_WINDOWS * max(50, int(has.sum()))]
+    some = rng.permutation(clean)[: CLEAN_WINDOWS * max(200, int(has.sum()))]
+    stand_for = len(clean) / max(1, len(some))
+    clean = some
     pick = np.sort(np.concatenate([np.flatnonzero(has), clean]))
     n = len(pick)
     feats, tag, mask = np.zeros((n, WINDOW, 3), np.int64), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
     for r, p in enumerate(pick):
         k = len(ts[p])
         feats[r, :k], tag[r, :k], mask[r, :k] = fs[p], ts[p], True
-    return feats, tag, mask
+    return feats, tag, mask, np.where(has[pick], 1.0, stand_for)
 
 
-def _marginals(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _marginals(e: np.ndarray, mask: np.ndarray, weight: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(state 1) per token and expected transitions, of padded windows; e is the score of state 1."""
     n, width = e.shape
     emit = np.stack([np.ones_like(e), np.exp(e)], axis=2)
@@ -111,23 +116,24 @@ def _marginals(e: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.n
     p /= p.sum(axis=2, keepdims=True)
     pair = a[:, :-1, :, None] * step * (emit[:, 1:] * b[:, 1:])[:, :, None, :]
     pair /= pair.sum(axis=(2, 3), keepdims=True)
-    return p[:, :, 1], (pair * mask[:, 1:, None, None]).sum(axis=(0, 1))
+    return p[:, :, 1], (pair * (mask[:, 1:] * weight[:, None])[:, :, None, None]).sum(axis=(0, 1))
 
 
-def fit_crf(feats, tag, mask) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_crf(feats, tag, mask, weight) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature weights, transition scores and bias, by proximal AdaGrad steps."""
     size = 1 << BITS
-    w, trans, bias = np.zeros(size), np.zeros((2, 2)), -2.0
+    w, trans, bias = np.zeros(size), np.zeros((2, 2)), -6.0
     g2, t2, b2 = np.full(size, 1e-8), np.full((2, 2), 1e-8), 1e-8
     if not len(tag):
         return w, trans, -8.0
-    total = max(1, int(mask.sum()))
+    each = mask * weight[:, None]
+    total = each.sum()
     both = mask[:, 1:]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (tag[:, :-1][both], tag[:, 1:][both]), 1)
+    np.add.at(seen, (tag[:, :-1][both], tag[:, 1:][both]), each[:, 1:][both])
     for _ in range(STEPS):
-        p, moved = _marginals(w[feats].sum(axis=2) + bias, mask, trans)
-        d = np.where(mask, p - tag, 0.0) / total
+        p, moved = _marginals(w[feats].sum(axis=2) + bias, mask, weight, trans)
+        d = (p - tag) * each / total
         g = np.bincount(feats.ravel(), weights=np.repeat(d.ravel(), 3), minlength=size)
         g2 += g * g
         rate = RATE / np.sqrt(g2)
@@ -192,11 +198,10 @@ class Model:
         ahead, back = np.zeros((len(at), 2)), np.ones((len(at), 2))
         for k in range(int(size[0])):
             i = start[: int(np.searchsorted(-size, -k, "left"))] + k
-            if k == 0:
-                # A text that opens with a token of weight has no step before it.
-                opening = self.neutral @ self.step
-                far = np.einsum("j,njk->nk", self.neutral, self.powers[np.minimum(np.maximum(lead[i] - 1, 0), _GAPS)]) @ self.step
-                came = np.where((lead[i] == 0)[:, None], 1.0, np.where((lead[i] == 1)[:, None], opening, far))
+            if k == 0:  # a text that opens with a token of weight has no step before it
+                before = self.powers[np.clip(lead[i] - 1, 0, _GAPS)]
+                came = np.einsum("j,njk->nk", self.neutral, before) @ self.step
+                came = np.where((lead[i] == 0)[:, None], 1.0, came)
             else:
                 came = np.einsum("nj,njk->nk", ahead[i - 1], self.powers[np.minimum(lead[i], _GAPS)]) @ self.step
             now = came * emit[i]
@@ -214,14 +219,13 @@ class Model:
         return at, p[:, 1] / p.sum(axis=1)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Model:
-    """A chain from at most ``per_class`` usable labelled documents of each class.
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: tuple[int, int] = SAMPLE) -> Model:
+    """A chain from at most ``sample`` usable labelled documents of each class.
 
     The sample is bounded, and so are the weights that come back.
     """
-    sample = with_texts(docs, labelled_sample(labels, "toxic", usable, per_class))
-    rows = sample.mapInArrow(_sequences, "doc_id long, y int, f array<int>")
-    fitted = rows.groupBy(F.lit(1)).applyInArrow(_fit, "at long, w double").toArrow()
+    rows = with_texts(docs, labelled_sample(labels, "toxic", usable, sample)).mapInArrow(_sequences, "doc_id long, y int, f array<int>")
+    fitted = rows.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_fit, "at long, w double").toArrow()
     at, value = fitted.column("at").to_numpy(), fitted.column("w").to_numpy()
     w, own = np.zeros(1 << BITS), dict(zip(at.tolist(), value.tolist(), strict=True))
     w[at[at >= 0]] = value[at >= 0]
