@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lawspark.llm import text as T
 from lawspark.llm.components import components
@@ -95,7 +96,7 @@ def _list_array(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel()))
 
 
-def _sign(k: int):
+def _sign(k: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column("text"), k))
@@ -106,8 +107,8 @@ def _sign(k: int):
             if some.any():
                 rows[some] = bands(signatures([s for s in sets if len(s)]))
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(key, pa.binary()), pa.array(size), _list_array(rows)],
-                names=["doc_id", "key", "n_shingles", "bands"],
+                [*(b.column(c) for c in carry), b.column("doc_id"), pa.array(key, pa.binary()), pa.array(size), _list_array(rows)],
+                names=[*carry, "doc_id", "key", "n_shingles", "bands"],
             )
 
     return run
@@ -167,9 +168,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_shingles, component_id, component, kept`` per row of ``docs(doc_id, text)``.
 
+    Further narrow columns named in ``carry`` come along.
+
     Words are runs of non-white-space with A-Z lower-cased; texts of the same
     shingle set are one node. ``component_id`` is the smallest doc_id of the
     component, ``component`` its internal number. Texts without words are
@@ -178,9 +181,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ``kept`` compares null-safely. Repeated rows share component and ``kept``.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, key binary, n_shingles long, bands array<long>"
-    sig = written(docs.mapInArrow(_sign(k), schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    docs = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    added = StructType.fromDDL("doc_id long, key binary, n_shingles long, bands array<long>")
+    schema = StructType([*(docs.schema[c] for c in carry), *added.fields])
+    signed = docs.mapInArrow(_sign(k, carry), schema)
+    sig = written(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = written(
         sig.where("key is not null").groupBy("key")
         .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")),
@@ -243,11 +248,10 @@ def _result(sig: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     )
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     owner = rooted.select("key", "component").join(least, "component")
-    rows = sig.select("doc_id", "n_shingles", "key", "row")
-    grouped = rows.join(owner, "key", "left")
+    grouped = sig.drop("bands").join(owner, "key", "left")
     own = F.col("key").isNull()
     out = grouped.select(
-        "doc_id", "n_shingles",
+        *[c for c in sig.columns if c not in ("key", "bands", "row")],
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(own, F.col("row")).otherwise(F.col("component")).alias("component"),
     )
