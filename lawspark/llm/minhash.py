@@ -8,8 +8,10 @@ copies cost one narrow row each.
 
 Within a bucket the candidate links form stars: every member is linked with
 the smallest one, then members of buckets that still hold several components
-with the next ``CENTRES`` smallest. A link counts only after the full sets
-confirm it. Buckets with still more components are crowds of texts that share
+with the next ``CENTRES`` smallest. Texts that share too few shingles with all
+others of the open buckets are left out of this, as are pairs whose common
+parts are too small; both bounds are exact. A link counts only after the full
+sets confirm it. Buckets with still more components are crowds of texts that share
 a passage; the members of all crowds are hashed again with a fresh permutation
 into more and stricter bands and compared with more centres, level by level,
 until no crowd is left. So no bucket is capped, and none emits all its pairs.
@@ -33,6 +35,8 @@ from lawspark.session import written
 BINS, ROWS = 128, 4  # 32 bands of 4 bins: at similarity 0.8 a pair misses all with 5e-8
 CROWD_BINS, CROWD_ROWS = 512, 8  # for crowds, 64 bands of 8 bins: with 8e-6
 CENTRES, GROWTH = 16, 8  # centres of a bucket, times this at each further level
+PARTS = 128  # parts of the hash range in which a set's members are counted
+_PART = np.uint64(64 - 7)
 
 
 def signatures(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -122,10 +126,12 @@ def _sets(k: int):
             node, key, out = b.column("node").to_pylist(), b.column("key").to_pylist(), []
             for i, s in enumerate(shingle_sets(b.column("text"), k)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key[i]:
-                    out.append((node[i], s.view(np.int64)))
+                    parts = np.bincount((s >> _PART).astype(np.int64), minlength=PARTS)
+                    out.append((node[i], s.view(np.int64), parts.astype(np.int32)))
+            node, items, parts = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch(
-                [pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))],
-                names=["node", "items"],
+                [pa.array(node, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                names=["node", "items", "parts"],
             )
 
     return run
@@ -197,40 +203,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple
     alike = members.select("node").distinct()
     asked = nodes.join(alike, "node", "left_semi").select("node", "key", F.col("doc_id").alias("id"))
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "key", "text")
-    sets = written(texts.mapInArrow(_sets(k), "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(texts.mapInArrow(_sets(k), "node long, items array<long>, parts array<int>").dropDuplicates(["node"]), "sets")
 
-    links, level, wide = spark.createDataFrame([], "a long, b long"), 0, CENTRES
+    star = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    links = written(_verified(star.distinct(), sets, percent), "links")
+    level, wide = 0, CENTRES
     while True:
-        star = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        links = written(links.unionByName(_verified(star.distinct(), sets, percent)), "links")
         label = components(links)
-        open_ = _unresolved(members, label)
-        later = open_.where("node > centre").select("bucket", "node", "root")
+        open_ = _unresolved(members, label).where("centre is null or node > centre").select("bucket", "node", "root")
+        open_ = written(_linkable(open_, sets, percent), "open")
         w = Window.partitionBy("bucket").orderBy("node")
         centres = written(
-            later.withColumn("n", F.row_number().over(w)).where(F.col("n") <= wide)
-            .select("bucket", F.col("node").alias("a"), F.col("root").alias("of"), "n"),
+            open_.withColumn("at", F.row_number().over(w)).where(F.col("at") <= wide)
+            .select("bucket", F.col("node").alias("a"), F.col("root").alias("of"), F.col("n").alias("m"),
+                    F.col("common").alias("shared"), F.col("parts").alias("others"), "at"),
             "centres",
         )
         if centres.isEmpty():
             break
-        pairs = later.join(centres, "bucket").where("node > a and root <> of")
+        # Two sets share at most what either has in common with any other, and
+        # in each part of the hash range at most the smaller number of members.
+        need = percent * (F.col("n") + F.col("m"))
+        by_part = F.aggregate(F.zip_with("parts", "others", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        enough = ((100 + percent) * F.least("common", "shared") >= need) & ((100 + percent) * by_part >= need)
+        pairs = open_.join(centres, "bucket").where("node > a and root <> of").where(enough)
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         links = written(links.unionByName(_verified(pairs, sets, percent)), "links")
         label = components(links)
-        full = centres.where(F.col("n") == wide).select("bucket", F.col("a").alias("used"))
-        crowd = _unresolved(members.join(full, "bucket"), label).where("node > used").select("bucket", "node")
+        full = centres.where(F.col("at") == wide).select("bucket", F.col("a").alias("used"))
+        rest = open_.select("bucket", "node").join(full, "bucket")
+        crowd = _unresolved(rest, label).where("node > used").select("bucket", "node")
         crowd = written(_shared(crowd).select("node").distinct(), "crowds")
         if crowd.isEmpty():
             break
         level, wide = level + 1, wide * GROWTH
         fresh = sets.join(crowd, "node", "left_semi").mapInArrow(_resign(level), "node long, bands array<long>")
-        members = written(
-            _shared(fresh.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))), "buckets"
-        )
+        members = _shared(fresh.select("node", F.explode(F.array_distinct("bands")).alias("bucket")))
+        members = written(members.withColumn("centre", F.lit(None).cast("long")), "buckets")
     return _result(sig, nodes, label)
 
 
+def _linkable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows whose set can be linked at all, with its size ``n``, its ``common`` part and its ``parts``.
+
+    A shingle that only one of these sets has is in no intersection, so a set
+    with too many of its own can have no link among them.
+    """
+    own = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    alone = (
+        own.select("node", F.explode("items").alias("item")).groupBy("item")
+        .agg(F.min("node").alias("node"), F.count("*").alias("df")).where("df = 1")
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    n = F.size("items").cast("long")
+    size = own.select("node", "parts", n.alias("n")).join(alone, "node", "left")
+    size = size.select("node", "parts", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return open_.join(size.where(100 * F.col("common") >= percent * F.col("n")), "node")
+
+
 def _unresolved(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members, with their root, of buckets that hold several components."""
     known = members.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
