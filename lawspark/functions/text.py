@@ -120,3 +120,16 @@ def segment(text: Column, open_segmenter: Callable[[], Callable[[list[str]], lis
             yield pd.Series(segmenter(batch.fillna("").tolist()))
 
     return run(text)
+
+
+def is_json_object(text):
+    """One complete JSON object in strict form, with nothing after it; never null.
+
+    The parser stops at the end of a value. As the only element of an array
+    and as the only value of an object the text must end where they do.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    valued = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    kind = F.schema_of_variant(F.try_variant_get(alone, "$[0]", "variant"))
+    only = F.try_variant_get(alone, "$[1]", "variant").isNull()
+    return F.coalesce(valued.isNotNull() & only & kind.startswith("OBJECT"), F.lit(False))

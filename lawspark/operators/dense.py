@@ -66,6 +66,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(size) and size.min() != size.max():
+        raise ValueError(f"vectors of different sizes: {int(size.min())} and {int(size.max())}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return flat.reshape(len(column), -1)
 
@@ -92,6 +95,8 @@ def _scorer(distance: str):
             return out
 
         def near(v: np.ndarray, part: np.ndarray) -> np.ndarray:
+            if v.shape[1] != part.shape[1]:
+                raise ValueError(f"items have vectors of size {v.shape[1]}, queries of {part.shape[1]}")
             if distance == "cosine":
                 return _unit(v) @ part.T
             if distance == "dot":

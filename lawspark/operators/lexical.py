@@ -24,9 +24,6 @@ from lawspark.session import scratch_dir, written
 K1 = 1.5
 B = 0.75
 
-# Ours: up to this many terms are taken as a small table.
-MAX_TERMS = 100_000
-
 Segmenter = Callable[[], Callable[[list[str]], list[str]]]
 
 
@@ -103,8 +100,8 @@ def fit(
 
     ``only_terms(term)`` keeps the vocabulary to the terms a search asks for:
     weights of other terms never enter a dot product, so results are the same.
-    Few terms are broadcast and applied before counting; up from ``MAX_TERMS``
-    they are applied to the counted terms, so that no listing is shuffled.
+    They are a written table, applied before counting; Spark picks the join by
+    its size.
     """
     t = tokenise(docs.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
     text_itself = F.array(F.lit(None).cast("string"))
@@ -112,20 +109,14 @@ def fit(
         F.size("tokens").alias("len"),
         F.explode_outer(F.concat(text_itself, F.array_distinct("tokens"))).alias("term"),
     )
-    def asked_only(rows: DataFrame) -> DataFrame:
-        return rows.join(asked, rows["term"].eqNullSafe(asked["term"]), "left_semi")
-
-    few = False
     if only_terms is not None:
         itself = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))
         asked = written(only_terms.select("term").unionByName(itself), "terms")
-        few = asked.count() <= MAX_TERMS
-    counted = (asked_only(listed) if few else listed).groupBy("term").agg(
+        listed = listed.join(asked, listed["term"].eqNullSafe(asked["term"]), "left_semi")
+    counted = listed.groupBy("term").agg(
         F.count("*").alias("df"),
         F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len"),
     )
-    if only_terms is not None and not few:
-        counted = asked_only(counted)
     terms = written(counted, "bm25")
     total = F.coalesce(F.max("len"), F.lit(0)).cast("bigint")
     stats = terms.where("term IS NULL").agg(

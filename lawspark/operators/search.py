@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawspark.operators.dense import DENSE_THRESHOLD, TOP_K, nearest
+from lawspark.operators.lexical import weights
 from lawspark.operators.topk import top_k
 
 # Settings of the retrieval step.
@@ -32,44 +33,43 @@ def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 
 def _sparse_scorer(queries: pa.Table):
-    """Dot product of sparse vectors, over the terms of the queries at hand."""
+    """Dot product of sparse vectors, from the terms that item and query share.
+
+    The work is the number of such hits, and the memory one score block.
+    """
     q_row, q_term = _lists(queries.column(1))
     q_weight = _lists(queries.column(2))[1].to_numpy(zero_copy_only=False)
-    built: dict[tuple[int, int], tuple[pa.Array, np.ndarray]] = {}
+    known = q_term.unique()
+    term = pc.index_in(q_term, value_set=known).to_numpy(zero_copy_only=False)
+    built: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def block(cut: slice) -> tuple[pa.Array, np.ndarray]:
-        """Distinct terms of a slice of queries, and their (term x query) matrix."""
+    def postings(cut: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a slice of queries, by term: where each term's list begins, its queries and weights."""
         if (cut.start, cut.stop) not in built:
-            mine = (q_row >= cut.start) & (q_row < cut.stop)
-            terms = q_term.filter(pa.array(mine))
-            known = terms.unique()
-            at = pc.index_in(terms, value_set=known)
-            m = np.zeros((len(known), cut.stop - cut.start))
-            m[at.to_numpy(zero_copy_only=False), q_row[mine] - cut.start] = q_weight[mine]
-            built[cut.start, cut.stop] = (known, m)
+            mine = np.flatnonzero((q_row >= cut.start) & (q_row < cut.stop))
+            mine = mine[np.argsort(term[mine], kind="stable")]
+            first = np.searchsorted(term[mine], np.arange(len(known) + 1))
+            built[cut.start, cut.stop] = (first, q_row[mine] - cut.start, q_weight[mine])
         return built[cut.start, cut.stop]
 
     def score(items, cut: slice) -> np.ndarray:
-        known, m = block(cut)
-        n, t = items.num_rows, len(known)
-        out = np.full((n, m.shape[1]), -np.inf)
-        if not t:
-            return out
-        row, term = _lists(items.column(1))
+        first, who, how = postings(cut)
+        width = cut.stop - cut.start
+        row, own = _lists(items.column(1))
         weight = _lists(items.column(2))[1].to_numpy(zero_copy_only=False)
-        at = pc.index_in(term, value_set=known)
+        at = pc.index_in(own, value_set=known)
         hit = at.is_valid().to_numpy(zero_copy_only=False)
-        row, weight = row[hit], weight[hit]
-        col = at.drop_null().to_numpy(zero_copy_only=False)
-        step = max(1, (1 << 22) // t)
-        for r0 in range(0, n, step):
-            r1 = min(n, r0 + step)
-            lo, hi = np.searchsorted(row, [r0, r1])
-            d = np.zeros((r1 - r0, t))
-            d[row[lo:hi] - r0, col[lo:hi]] = weight[lo:hi]
-            s = d @ m
-            out[r0:r1] = np.where(s > 0, s, -np.inf)
-        return out
+        row, weight, col = row[hit], weight[hit], at.drop_null().to_numpy(zero_copy_only=False)
+        out = np.zeros(items.num_rows * width)
+        step = 1 << 16
+        for k in range(0, len(col), step):
+            c = col[k : k + step]
+            n = first[c + 1] - first[c]
+            j = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(row[k : k + step], n) * width + who[j]
+            out += np.bincount(cell, np.repeat(weight[k : k + step], n) * how[j], len(out))
+        s = out.reshape(items.num_rows, width)
+        return np.where(s > 0, s, -np.inf)
 
     return score
 
@@ -88,6 +88,36 @@ def sparse_search(
     return top_k(items, usable, _sparse_scorer, k, digits, **limits)
 
 
+def postings(docs: DataFrame, model, id_col: str, name: str, buckets: int = 16, **options) -> DataFrame:
+    """Write ``(term, id, weight)`` of a corpus as the table ``name``, bucketed and sorted by term.
+
+    A search then reads the corpus's weights, not its texts.
+    """
+    rows = weights(docs, model, id_col, **options).select("term", F.col(id_col).alias("id"), "weight")
+    rows.write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+def postings_search(
+    stored: DataFrame, queries: DataFrame, model, query_id: str, k: int = TOP_K, digits: int = 6, **options
+) -> DataFrame:
+    """``(query_id, id, score, rank)`` over stored postings; scores of shared terms only.
+
+    Only the asked terms' lists take part. Sums are combined before they are
+    shuffled, a frequent term's list is split by Spark, and the ranking is
+    limited before the shuffle too.
+    """
+    asked = weights(queries, model, query_id, **options).select(
+        "term", F.col(query_id).alias("query_id"), F.col("weight").alias("q_weight")
+    )
+    scored = (
+        stored.join(asked, "term").groupBy("query_id", "id")
+        .agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), digits).alias("score")).where("score > 0")
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
 def rrf(
     dense: DataFrame, sparse: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K, digits: int = 6
 ) -> DataFrame:

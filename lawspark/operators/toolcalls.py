@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawspark.functions.text import is_json_object
 from lawspark.operators.citation import lookup_direct, lookup_inbound, lookup_outbound
 from lawspark.operators.context import format_records
 from lawspark.schemas import LOOKUP_ARGS
@@ -30,11 +31,6 @@ FOLLOW_UP_AFTER = (
 BAD_ARGUMENTS = "bad arguments"
 
 
-def _is_object(text: Column) -> Column:
-    """A complete JSON object, nothing after it."""
-    return F.json_object_keys(text).isNotNull() & text.rlike(r"\}\s*\z")
-
-
 def _any_name(name: Column) -> Column:
     return name.isin(*PARAMETERS)
 
@@ -46,14 +42,26 @@ def extract_calls(responses: DataFrame) -> DataFrame:
     has none. What is not a JSON object is skipped and gets no number.
     """
     found = F.regexp_extract_all("response", F.lit(CALL_PATTERN), F.lit(1))
-    calls = responses.select("resp_id", F.posexplode(F.filter(found, _is_object)).alias("i", "call"))
+    calls = responses.select("resp_id", F.posexplode(F.filter(found, is_json_object)).alias("i", "call"))
     has_args = F.array_contains(F.json_object_keys("call"), "arguments")
+    given = F.try_variant_get(F.try_parse_json("call"), "$.arguments", "variant")
+    is_object = F.schema_of_variant(given).startswith("OBJECT")
+    # A text that holds JSON is a text: it keeps its quotes.
+    args = F.when(is_object, F.get_json_object("call", "$.arguments")).otherwise(F.to_json(given))
     return calls.select(
         "resp_id",
         (F.col("i") + 1).cast("bigint").alias("call_id"),
         F.get_json_object("call", "$.name").alias("name"),
-        F.when(has_args, F.coalesce(F.get_json_object("call", "$.arguments"), F.lit("null")))
-        .otherwise("{}").alias("args"),
+        F.when(has_args, F.coalesce(args, F.lit("null"))).otherwise("{}").alias("args"),
+    )
+
+
+def skipped_calls(responses: DataFrame) -> DataFrame:
+    """``(resp_id, place, call)``: marked calls that are no JSON object; places count all marks from 1."""
+    found = F.regexp_extract_all("response", F.lit(CALL_PATTERN), F.lit(1))
+    marks = responses.select("resp_id", F.posexplode(found).alias("i", "call"))
+    return marks.where(~is_json_object(F.col("call"))).select(
+        "resp_id", (F.col("i") + 1).cast("bigint").alias("place"), "call"
     )
 
 
@@ -75,7 +83,7 @@ def check_calls(calls: DataFrame) -> DataFrame:
     declared, required = per_function(PARAMETERS), per_function(REQUIRED)
     known = F.coalesce(_any_name(F.col("name")), F.lit(False))
     fits = (
-        _is_object(F.col("args"))
+        is_json_object(F.col("args"))
         & (F.size(F.array_except(keys, declared)) == 0)
         & (F.size(F.array_except(required, keys)) == 0)
     )
@@ -192,8 +200,14 @@ def answer_records(
     def or_empty(df: DataFrame, name: str) -> Column:
         return F.coalesce(name, F.array().cast(df.schema[name].dataType)).alias(name)
 
-    steps = F.coalesce("thinking", F.array().cast("array<string>")).alias("thinking")
-    record = F.struct(
-        or_empty(per_doc, "docs"), "answer", steps, or_empty(per_call, "tool_calls")
-    )
-    return out.select("resp_id", F.to_json(record).alias("record"))
+    steps = F.coalesce("thinking", F.array().cast("array<string>"))
+    # The answer is written as an array of one, whose brackets go.
+    one = F.expr("substring(to_json(array(answer)), 2, length(to_json(array(answer))) - 2)")
+    # Partial scores may be missing, but their keys stay; a call has no count or no error.
+    parts = [
+        '{"docs":', F.to_json(or_empty(per_doc, "docs"), {"ignoreNullFields": "false"}),
+        ',"answer":', one,
+        ',"thinking":', F.to_json(steps), ',"tool_calls":', F.to_json(or_empty(per_call, "tool_calls")), "}",
+    ]
+    text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return out.select("resp_id", text.alias("record"))

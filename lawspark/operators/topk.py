@@ -5,12 +5,8 @@ pair is ever a row: inside each task a block of items is multiplied with a
 block of queries (numpy), and only the k best items of each query leave it.
 What is shuffled is at most k rows per query and task.
 
-Two ways to bring queries and items together:
-
-* up to ``MAX_QUERIES`` queries and ``MAX_BYTES`` of them (both checked) are
-  shipped to the tasks, and the item table is read in place, unshuffled;
-* beyond that, items and queries are dealt by hash into blocks of bounded
-  size, and every pair of blocks meets in one task.
+Queries come to the tasks in blocks of at most ``MAX_BYTES``, measured by Spark
+before anything is shipped; the item table is read in place, once per block.
 """
 
 from __future__ import annotations
@@ -24,9 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 4096
 MAX_BYTES = 64 << 20
-BLOCK_ITEMS = 65536
 CELLS = 1 << 22  # size of one score block: items x queries
 
 # A scorer is made once per task from the query table. It takes a batch of
@@ -48,6 +42,7 @@ def _best(scores: np.ndarray, k: int, floor: float) -> np.ndarray:
 
 
 def _round(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    scores = np.where(np.isnan(scores), -np.inf, scores)
     return scores if digits is None else np.round(scores, digits)
 
 
@@ -115,28 +110,29 @@ def top_k(
     k: int,
     digits: int | None = 6,
     threshold: float | None = None,
-    max_queries: int = MAX_QUERIES,
     max_bytes: int = MAX_BYTES,
-    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: ranks from 1, equal scores by id.
 
     The first column of ``items`` and of ``queries`` is the id; the other
     columns are the scorer's. Scores are rounded before ranking, because sums
-    in another order differ in the last bits.
+    in another order differ in the last bits. A score that is no number is no
+    result.
     """
     qid, iid = queries.columns[0], items.columns[0]
     schema = (
         f"query_id {queries.schema[qid].dataType.simpleString()}, "
         f"id {items.schema[iid].dataType.simpleString()}, score double"
     )
-    sample = queries.limit(max_queries + 1).toArrow()
-    if sample.num_rows <= max_queries and sample.nbytes <= max_bytes:
-        candidates = _over_scan(items, sample, open_scorer, k, digits, threshold, schema)
-    else:
-        candidates = _over_grid(
-            items, queries, open_scorer, k, digits, threshold, schema, max_queries, block_items
-        )
+    arrays = [c for c, kind in queries.dtypes if kind.startswith("array")]
+    size = sum((16 * F.greatest(F.size(c), F.lit(0)) for c in arrays), F.lit(64)).cast("bigint")
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    blocks = max(1, math.ceil(total / max_bytes))
+    candidates = None
+    for i in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i) if blocks > 1 else queries
+        found = _over_scan(items, part.toArrow(), open_scorer, k, digits, threshold, schema)
+        candidates = found if candidates is None else candidates.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return candidates.withColumn("rank", F.row_number().over(w).cast("bigint")).where(
         F.col("rank") <= k
@@ -157,35 +153,3 @@ def _over_scan(items, query_table, open_scorer, k, digits, threshold, schema) ->
                 yield found
 
     return items.mapInArrow(run, schema)
-
-
-def _over_grid(
-    items, queries, open_scorer, k, digits, threshold, schema, max_queries, block_items
-) -> DataFrame:
-    n_items = max(1, math.ceil(items.count() / block_items))
-    n_queries = max(1, math.ceil(queries.count() / max_queries))
-
-    def deal(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        key = F.pmod(F.xxhash64(df.columns[0]), F.lit(n_own)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        return df.withColumn(own, key).withColumn(other, copies)
-
-    i_names, q_names = items.columns, queries.columns
-    left = deal(items, "__ib", n_items, "__qb", n_queries).groupBy("__ib", "__qb")
-    right = deal(queries, "__qb", n_queries, "__ib", n_items).groupBy("__ib", "__qb")
-
-    def run(i_block: pa.Table, q_block: pa.Table) -> pa.Table:
-        out = []
-        if i_block.num_rows and q_block.num_rows:
-            search = _Search(q_block.select(q_names), open_scorer, k, digits, threshold)
-            for batch in i_block.select(i_names).to_batches(max_chunksize=8192):
-                found = search.block(batch)
-                if found is not None:
-                    out.append(found)
-        if not out:
-            i_type, q_type = i_block.schema.field(i_names[0]).type, q_block.schema.field(q_names[0]).type
-            empty = pa.schema([("query_id", q_type), ("id", i_type), ("score", pa.float64())])
-            return empty.empty_table()
-        return pa.Table.from_batches(out)
-
-    return left.cogroup(right).applyInArrow(run, schema)

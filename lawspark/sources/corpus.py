@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawspark.functions.text import is_json_object
 from lawspark.schemas import TREE
 
 log = logging.getLogger("lawspark.sources")
@@ -29,8 +30,7 @@ def stream_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def _checked(raw: DataFrame) -> DataFrame:
     """Add ``good``: the text is one JSON object with nothing after it."""
-    is_object = F.json_object_keys("text").isNotNull() & F.col("text").rlike(r"\}\s*\z")
-    return raw.withColumn("good", F.coalesce(is_object, F.lit(False)))
+    return raw.withColumn("good", is_json_object(F.col("text")))
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

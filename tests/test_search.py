@@ -35,7 +35,7 @@ def _score(metric, a, b):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclid", "manhattan"])
-@pytest.mark.parametrize("limits", [{}, {"max_queries": 4, "block_items": 40}])
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": 300}])
 def test_nearest(tables, metric, limits):
     items, queries, i_df, q_df = tables
     got = {}
@@ -101,7 +101,7 @@ def _sparse_truth(docs_df, queries_df, model, k):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_queries": 3, "block_items": 25}])
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": 300}])
 def test_sparse_search_over_stored_vectors_and_over_texts(corpus, limits):
     _, docs, queries = corpus
     model = lexical.with_term_ids(lexical.fit(docs))
