@@ -166,7 +166,11 @@ def supplier_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model response per supplier; its region says what the response calls."""
+    """One model response per supplier; its region says what the response calls.
+
+    Among the calls are some that are no strict JSON (single quotes, a brace
+    too many, an open end) and one whose arguments are a text.
+    """
     s = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
@@ -187,13 +191,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = call('{"name": "search_law", "arguments": {"q": "', F.col("s_name"), '"}}')
     broken = call('{"name": "extract_clause_point", "arguments": {"article": ')
     missing = call('{"name": "extract_clause_point"}')
+    quotes = call("{'name': 'extract_clause_point', 'arguments': {'article': 1}}")
+    brace = call('{"name": "extract_clause_point", "arguments": {"article": ', art, "}}}")
+    text = call('{"name": "extract_clause_point", "arguments": "{\\"article\\": ', art, '}"}')
     r = F.col("n_regionkey")
     return s.select(
         F.col("s_suppkey").alias("resp_id"),
-        F.when(r == 0, F.concat(F.lit("Tra cứu. "), direct))
+        F.when(r == 0, F.concat(F.lit("Tra cứu. "), quotes, brace, direct))
         .when(r == 1, inbound)
         .when(r == 2, F.concat(broken, outbound))
         .when(r == 3, F.concat(unknown, F.lit("\n"), direct, F.lit("<tool_call>{")))
-        .otherwise(F.concat(missing, F.lit(" không cần")))
+        .otherwise(F.concat(missing, F.lit(" không cần"), text))
         .alias("response"),
     )

@@ -247,7 +247,8 @@ calls AS (
     FROM sup WHERE r = 2
   UNION ALL SELECT resp_id, 1, 'search_law', false, false, NULL, NULL, NULL, NULL FROM sup WHERE r = 3
   UNION ALL SELECT resp_id, 2, 'extract_clause_point', true, true, NULL, resp_id + 1, NULL, NULL FROM sup WHERE r = 3
-  UNION ALL SELECT resp_id, 1, 'extract_clause_point', true, false, NULL, NULL, NULL, NULL FROM sup WHERE r = 4)"""
+  UNION ALL SELECT resp_id, i, 'extract_clause_point', true, false, NULL, NULL, NULL, NULL
+    FROM sup, (VALUES (1), (2)) AS n(i) WHERE r = 4)"""
 
 
 def _asked(name: str) -> str:
@@ -274,7 +275,8 @@ fup AS (SELECT resp_id, 'Kết quả từ các công cụ:' || chr(10)
 
 # The responses as they are written.
 _RESPONSES = """SELECT resp_id, CASE r
-  WHEN 0 THEN 'Tra cứu. ' || d
+  WHEN 0 THEN 'Tra cứu. <tool_call>{''name'': ''extract_clause_point'', ''arguments'': {''article'': 1}}</tool_call>'
+    || '<tool_call>{"name": "extract_clause_point", "arguments": {"article": ' || (resp_id + 1) || '}}}</tool_call>' || d
   WHEN 1 THEN '<tool_call>' || chr(10) || '{"name": "extract_relevant_clause_point", "arguments": {"document": '
     || '"Nghị định này", "article": ' || (resp_id + 1) || ', "clause": null}}' || chr(10) || '</tool_call>'
   WHEN 2 THEN '<tool_call>{"name": "extract_clause_point", "arguments": {"article": </tool_call><tool_call>'
@@ -282,7 +284,8 @@ _RESPONSES = """SELECT resp_id, CASE r
     || ', "point": "a"}}</tool_call>'
   WHEN 3 THEN '<tool_call>{"name": "search_law", "arguments": {"q": "' || s_name || '"}}</tool_call>'
     || chr(10) || d || '<tool_call>{'
-  ELSE '<tool_call>{"name": "extract_clause_point"}</tool_call> không cần' END AS response
+  ELSE '<tool_call>{"name": "extract_clause_point"}</tool_call> không cần<tool_call>{"name": "extract_clause_point", '
+    || '"arguments": "{\\"article\\": ' || (resp_id + 1) || '}"}</tool_call>' END AS response
 FROM (SELECT s_suppkey AS resp_id, s_name, n_regionkey AS r, '<tool_call>{"name": "extract_clause_point", '
   || '"arguments": {"article": ' || (s_suppkey + 1) || '}}</tool_call>' AS d
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
@@ -391,10 +394,11 @@ ORACLES: dict[str, str] = {
     "format_context": f"WITH {_FOUND} SELECT query_id, context FROM ctx",
     "rag_prompt": f"""WITH {_FOUND} SELECT query_id, {_prompt('context', 'text')} AS prompt
         FROM ctx JOIN benchmark ON item_id = query_id""",
-    "conversation_messages": f"""SELECT conv_id, 0::BIGINT AS part, 0::BIGINT AS turn, 'system' AS role,
-          '{_SYSTEM}' AS content FROM conversations WHERE turn = 0
-        UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations
-        UNION ALL SELECT conv_id, 2, 0, 'user', {_prompt("''", 'text')} FROM conversations WHERE turn = 0""",
+    "conversation_messages": f"""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY conv_id)
+        SELECT conv_id, 0::BIGINT AS part, 0::BIGINT AS turn, 'system' AS role, '{_SYSTEM}' AS content FROM l
+        UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations JOIN l USING (conv_id) WHERE turn < last
+        UNION ALL SELECT conv_id, 2, 0, 'user', {_prompt("''", 'text')} FROM conversations JOIN l USING (conv_id)
+          WHERE turn = last AND role = 'user'""",
     "tool_calls": f"""WITH {_CALLS} SELECT resp_id, call_id::BIGINT AS call_id, name, known, callable, document,
         article, clause, point FROM calls""",
     "tool_call_status": f"""WITH {_RESOLVED}, cnt AS (SELECT req_id, count(*) AS n FROM found GROUP BY req_id)
@@ -409,7 +413,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT resp_id, 4, 0, 'user', content FROM fup""",
     "answer_records": f"""WITH {_RESOLVED}, cnt AS (SELECT req_id, count(*) AS n FROM found GROUP BY req_id),
         js AS (SELECT resp_id, string_agg('{{"id":' || call_id || ',"name":"' || name || '","args":' || CASE
-            WHEN name = 'search_law' THEN '{{"q":"' || s_name || '"}}' WHEN NOT callable THEN '{{}}'
+            WHEN name = 'search_law' THEN '{{"q":"' || s_name || '"}}' WHEN NOT callable AND call_id = 2
+              THEN '"{{\\"article\\": ' || (resp_id + 1) || '}}"' WHEN NOT callable THEN '{{}}'
             WHEN name = 'extract_clause_point' THEN '{{"article":' || article || '}}'
             WHEN name = 'extract_relevant_clause_point'
               THEN '{{"article":' || article || ',"clause":null,"document":"Nghị định này"}}'
@@ -431,4 +436,18 @@ ORACLES: dict[str, str] = {
           hi AS last_id, round(coalesce(s, 0), 5) AS weight FROM documents LEFT JOIN v ON id = doc_id""",
     "points_upsert": """SELECT doc_id::VARCHAR AS chunk_id,
         CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'v2 ' || text ELSE text END AS text FROM documents""",
+    "collection_sparse_topk": f"WITH {_SPARSE} SELECT qid AS item_id, id AS doc_id, score, rank FROM ({_top('sp_all', 14)})",
+    "segmented_tokens": f"""SELECT doc_id, len(t)::BIGINT AS n_tokens,
+        len(list_filter(t, lambda w: w = 'of_the'))::BIGINT AS n_joined
+        FROM (SELECT doc_id, {_tokens("replace(text, 'of the', 'of_the')")} AS t FROM documents)""",
+    "model_round_trip": f"""WITH {_bm25('documents', 'doc_id')}
+        SELECT term, df, round(idf, 6) AS idf FROM idf""",
+    "chunk_ids": f"""WITH {_UNITS} SELECT {_POS_BIG}, sha256(concat_ws('/', doc_id, chapter_pos, article_pos,
+        clause_pos, point_pos)) AS chunk_id FROM chunks""",
+    "texts_round_trip": "SELECT item_id, text FROM benchmark",
+    "documents_json_round_trip": """SELECT doc_id, doc_id % 7 <> 0 AS good, doc_id % 7 <> 0 AS same
+        FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "collection_scan": f"""WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks WHERE article_number = 1
+        ORDER BY {_DOC_ORDER} LIMIT 100""",
+    "stream_ingest": f"WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks",
 }

@@ -15,7 +15,8 @@ from lawspark.plans.corpora import (
     code_chunks, direct_requests, responses, statute_texts, supplier_requests, table,
 )
 from lawspark.session import scratch_dir, spread, written
-from lawspark.sources import collection
+from lawspark.sources import collection, corpus, model_store
+from lawspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +89,37 @@ def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.sparse_search(*sides, k=14), "item_id", "doc_id")
 
 
+def collection_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search over stored postings: index once, then read the asked terms only."""
+    docs, bench = _corpus(spark, sf)
+    model = lexical.fit(docs)
+    name = "postings_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+    stored = search.postings(docs, model, "doc_id", name)
+    return _ranked(search.postings_search(stored, bench, model, "item_id", k=14), "item_id", "doc_id")
+
+
+def _open_hyphen_segmenter():
+    """Stand-in for a word segmenter: joins "of the" into one word."""
+    return lambda texts: [t.replace("of the", "of_the") for t in texts]
+
+
+def segmented_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    t = lexical.tokenise(documents(spark, sf), "doc_id", segmenter=_open_hyphen_segmenter)
+    return t.select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.size(F.filter("tokens", lambda x: x == "of_the")).cast("bigint").alias("n_joined"),
+    )
+
+
+def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary of a model saved twice and loaded."""
+    path = scratch_dir(spark, "model")
+    model = lexical.fit(documents(spark, sf))
+    model_store.save_model(model, path)
+    model_store.save_model(model_store.load_model(spark, path), path)
+    return model_store.load_model(spark, path).vocab.select("term", "df", r6("idf").alias("idf"))
+
+
 # --- dense ------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -289,6 +321,80 @@ def chunk_code(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The id of each passage of the statutes."""
+    return _statute_chunks(spark, sf).select("doc_id", *_pos_columns(), "chunk_id")
+
+
+def texts_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """One text file per benchmark item, written and read back."""
+    path = scratch_dir(spark, "texts")
+    bench = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value"))
+    bench.repartition("item_id").write.partitionBy("item_id").option("lineSep", "\n").text(path)
+    read = corpus.read_texts(spark, f"{path}/*/*.txt")
+    return read.select(
+        F.regexp_extract("doc_id", "item_id=([0-9]+)", 1).cast("bigint").alias("item_id"),
+        F.regexp_replace("text", r"\n\z", "").alias("text"),
+    )
+
+
+def documents_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed statutes of labelled documents as JSON files, every seventh broken: read and quarantined.
+
+    ``same`` tells whether the tree that was read equals the one written.
+    """
+    texts = statute_texts(spark, sf).join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi")
+    tree = written(parse.parse_documents(texts), "tree")
+    path = scratch_dir(spark, "json")
+    end = F.when(F.col("doc_id") % 7 == 0, "}").otherwise("")
+    body = F.concat(F.to_json(F.struct("document_title", "legal_basis", "chapters")), end)
+    files = tree.select("doc_id", body.alias("value"))
+    files.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    good, bad = corpus.read_documents(spark, f"{path}/*/*.txt")
+    number = F.regexp_extract("doc_id", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id")
+    read = good.select(number, F.to_json(F.struct("document_title", "legal_basis", "chapters")).alias("read"))
+    rows = read.unionByName(bad.select(number, F.lit(None).cast("string").alias("read")))
+    return rows.join(files, "doc_id").select(
+        "doc_id", F.col("read").isNotNull().alias("good"), F.coalesce(F.col("read") == F.col("value"), F.lit(False)).alias("same")
+    )
+
+
+def _statute_collection(spark: SparkSession, doc_id: str) -> str:
+    """A new collection whose documents have ids of the type ``doc_id``."""
+    name = "statutes_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+    collection.ensure_collection(
+        spark, name, dim=len(LETTERS), location=scratch_dir(spark, "statutes"),
+        columns=collection.POINT_COLUMNS.replace("doc_id string", f"doc_id {doc_id}"),
+    )
+    return name
+
+
+def _letters() -> Column:
+    return dense.embed(F.col("text"), _open_letter_model)
+
+
+def collection_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """First hundred points of all first articles in a stored collection."""
+    name = _statute_collection(spark, "bigint")
+    collection.upsert(build_points(_statute_chunks(spark, sf), _letters(), None), name)
+    collection.compact(spark, name)
+    found = citation.scan(collection.current(spark, name), F.col("article_number") == 1, 100)
+    return found.select("doc_id", *_pos_columns(), "text")
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Statutes taken in by a stream, in two waves of files: the collection holds all their passages."""
+    name = _statute_collection(spark, "string")
+    files, checkpoint = scratch_dir(spark, "waves"), scratch_dir(spark, "stream")
+    texts = statute_texts(spark, sf).select("doc_id", "text")
+    for wave in (0, 1):
+        texts.where(F.col("doc_id") % 2 == wave).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(texts.schema).parquet(files)
+        ingest.ingest_texts(stream, name, _letters, checkpoint).awaitTermination()
+        collection.compact(spark, name)
+    return collection.current(spark, name).select(*_long("doc_id"), *_pos_columns(), "text")
+
+
 # --- citations --------------------------------------------------------------
 
 _HIT = ("rank", "doc_id", "article_number", "clause_number", "point", "text")
@@ -351,13 +457,15 @@ def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The last user turn is the question; what stands before it is the history."""
     conv = table(spark, sf, "conversations")
-    opening = conv.where("turn = 0")
-    prompts = opening.select(
+    last = conv.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    asked = conv.join(last, "conv_id")
+    prompts = asked.where("turn = last and role = 'user'").select(
         "conv_id", context.rag_prompt(F.lit(""), F.col("text")).alias("content")
     )
-    history = conv.withColumnRenamed("text", "content")
-    m = context.messages(opening.select("conv_id"), prompts, history)
+    history = asked.where("turn < last").withColumnRenamed("text", "content")
+    m = context.messages(last.select("conv_id"), prompts, history)
     return m.select("conv_id", F.col("part").cast("bigint").alias("part"), "turn", "role", "content")
 
 
@@ -491,4 +599,12 @@ QUERIES: dict[str, Query] = {
     "answer_records": answer_records,
     "points_build": points_build,
     "points_upsert": points_upsert,
+    "collection_sparse_topk": collection_sparse_topk,
+    "segmented_tokens": segmented_tokens,
+    "model_round_trip": model_round_trip,
+    "chunk_ids": chunk_ids,
+    "texts_round_trip": texts_round_trip,
+    "documents_json_round_trip": documents_json_round_trip,
+    "collection_scan": collection_scan,
+    "stream_ingest": stream_ingest,
 }

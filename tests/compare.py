@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -51,7 +53,8 @@ if __name__ == "__main__":
     from lawspark.session import local_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
-    spark = local_session(8)
+    SparkSession.builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    spark = local_session(2)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     for name in names:
