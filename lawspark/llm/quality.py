@@ -43,7 +43,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     doc = np.concatenate([word.doc, sign.doc])
     order = np.argsort(start, kind="stable")
     start, end, doc = start[order], end[order], doc[order]
-    h = T.hashes(word, start, end)
+    h = T.span_hashes(T.prefix_sums(word), start, end)
     upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
     digit = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     n_upper, size = upper[end] - upper[start], end - start

@@ -96,22 +96,30 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
     return Words(data, start, end, np.searchsorted(offsets, start, "right") - 1, n)
 
 
-def hashes(w: Words, start: np.ndarray | None = None, end: np.ndarray | None = None, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by prefix sums of a polynomial."""
+def prefix_sums(w: Words, lower: bool = True) -> np.ndarray:
+    """Sums of a polynomial over the bytes, from which any span's hash follows."""
     global _power, _unpower
     n = len(w.data)
     if len(_power) < n + 1:
         size = max(n + 1, SLICE + 1)
         _power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
         _unpower = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]), dtype=np.uint64)
-    start = w.start if start is None else start
-    end = w.end if end is None else end
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((_VALUE_LOWER if lower else _VALUE)[w.data] * _power[:n], out=prefix[1:])
+    return prefix
+
+
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
     raw = (prefix[end] - prefix[start]) * _unpower[start]
     return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def hashes(w: Words) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased."""
+    return span_hashes(prefix_sums(w), w.start, w.end)
+
+
 def ngrams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of each run of ``k`` words of one text."""
     n = len(h) - k + 1

@@ -31,19 +31,19 @@ from lawspark.llm.sampling import labelled_sample, with_texts
 BITS = 18
 SAMPLE = (6000, 2000)  # other and toxic training documents, at most
 WINDOW = 32
-CLEAN_WINDOWS = 3  # windows without toxic tokens kept, for each one with some
+CLEAN_WINDOWS = 1  # windows without toxic tokens kept, for each one with some
 MIN_ODDS, MIN_RATIO = 2.5, 25.0  # log-odds, likelihood ratio
-STEPS, RATE, L1 = 60, 0.3, 2e-5
+STEPS, RATE, L1 = 40, 0.3, 2e-5
 _GAPS = 256  # powers of the gap matrix kept; beyond, the last equals the limit
 _BUCKET = np.uint64(64 - BITS)
 
 
 def _features(w: T.Words) -> np.ndarray:
     """Buckets (tokens x 3): the word, its first four and its first five bytes."""
-    cols = [T.hashes(w)]
+    prefix = T.prefix_sums(w)
+    cols = [T.span_hashes(prefix, w.start, w.end)]
     for k in (4, 5):
-        cut = np.minimum(w.end, w.start + k)
-        cols.append(T.mix(T.hashes(w, w.start, cut) + np.uint64(k)))
+        cols.append(T.mix(T.span_hashes(prefix, w.start, np.minimum(w.end, w.start + k)) + np.uint64(k)))
     return np.stack([(c >> _BUCKET).astype(np.int64) for c in cols], axis=1)
 
 
@@ -150,8 +150,10 @@ def fit_crf(feats, tag, mask, weight) -> tuple[np.ndarray, np.ndarray, float]:
 
 def _fit(table: pa.Table) -> pa.Table:
     table = table.sort_by("doc_id")
-    docs = [np.array(f, np.int64).reshape(-1, 3) for f in table.column("f").to_pylist()]
-    y = np.array(table.column("y").to_pylist(), np.int64)
+    f = table.column("f").combine_chunks()
+    flat, at = f.flatten().to_numpy().reshape(-1, 3), np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]) // 3
+    docs = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    y = table.column("y").to_numpy().astype(np.int64)
     tags = _label(docs, y)
     w, trans, bias = fit_crf(*_windows(docs, tags))
     at = np.flatnonzero(w)
