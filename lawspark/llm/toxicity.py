@@ -1,18 +1,20 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels come per document, so tokens are labelled first: in a toxic training
-document a word is a toxic token if the word, or its first four or five bytes,
-is far more frequent in toxic than in other training documents (by its odds and
+document a word is a toxic token if the word, or a beginning of it (four to
+seven bytes, with or without more to come), is far more frequent in toxic than in other training documents (by its odds and
 by a likelihood-ratio test). On windows of these labelled tokens a two-state
 chain is trained by gradient steps on its log-likelihood, where the windows
 without toxic tokens are thinned out and weigh as many as they stand for.
-Features are the hashed word and its two prefixes; small weights are dropped.
+Features are the hashed word and those beginnings; small weights are dropped.
 
 Most tokens then have no weight at all. Between two tokens with weight the
 chain only repeats one fixed step, so forward and backward sums jump over the
 gap by a power of that step's matrix, and a text costs as many steps as it has
 tokens with weight. The result is exact for the whole text. A document's score
-is the chance that at least one token is toxic.
+is the chance that at least one of its suspicious tokens (``NOTABLE`` chance or
+more) is toxic; lesser chances are not summed up, or any long text would seem
+toxic.
 """
 
 from __future__ import annotations
@@ -30,20 +32,24 @@ from lawspark.llm.sampling import labelled_sample, with_texts
 
 BITS = 18
 SAMPLE = (6000, 2000)  # other and toxic training documents, at most
+PREFIXES = (4, 5, 6, 7)
+WIDTH = 1 + len(PREFIXES)  # features of a token
+NOTABLE = 0.3
 WINDOW = 32
 CLEAN_WINDOWS = 1  # windows without toxic tokens kept, for each one with some
-MIN_ODDS, MIN_RATIO = 2.5, 25.0  # log-odds, likelihood ratio
+MIN_ODDS, MIN_RATIO = 3.0, 25.0  # log-odds, likelihood ratio
 STEPS, RATE, L1 = 40, 0.3, 2e-5
 _GAPS = 256  # powers of the gap matrix kept; beyond, the last equals the limit
 _BUCKET = np.uint64(64 - BITS)
 
 
 def _features(w: T.Words) -> np.ndarray:
-    """Buckets (tokens x 3): the word, its first four and its first five bytes."""
+    """Buckets (tokens x WIDTH): the word, and its beginnings, told apart by whether more follows."""
     prefix = T.prefix_sums(w)
     cols = [T.span_hashes(prefix, w.start, w.end)]
-    for k in (4, 5):
-        cols.append(T.mix(T.span_hashes(prefix, w.start, np.minimum(w.end, w.start + k)) + np.uint64(k)))
+    for k in PREFIXES:
+        more = (w.end - w.start > k).astype(np.uint64)
+        cols.append(T.mix(T.span_hashes(prefix, w.start, np.minimum(w.end, w.start + k)) + np.uint64(2 * k) + more))
     return np.stack([(c >> _BUCKET).astype(np.int64) for c in cols], axis=1)
 
 
@@ -90,7 +96,7 @@ def _windows(docs, tags) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     clean = some
     pick = np.sort(np.concatenate([np.flatnonzero(has), clean]))
     n = len(pick)
-    feats, tag, mask = np.zeros((n, WINDOW, 3), np.int64), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
+    feats, tag, mask = np.zeros((n, WINDOW, WIDTH), np.int64), np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool)
     for r, p in enumerate(pick):
         k = len(ts[p])
         feats[r, :k], tag[r, :k], mask[r, :k] = fs[p], ts[p], True
@@ -134,7 +140,7 @@ def fit_crf(feats, tag, mask, weight) -> tuple[np.ndarray, np.ndarray, float]:
     for _ in range(STEPS):
         p, moved = _marginals(w[feats].sum(axis=2) + bias, mask, weight, trans)
         d = (p - tag) * each / total
-        g = np.bincount(feats.ravel(), weights=np.repeat(d.ravel(), 3), minlength=size)
+        g = np.bincount(feats.ravel(), weights=np.repeat(d.ravel(), WIDTH), minlength=size)
         g2 += g * g
         rate = RATE / np.sqrt(g2)
         w -= np.where(g != 0, rate * g, 0.0)
@@ -151,7 +157,7 @@ def fit_crf(feats, tag, mask, weight) -> tuple[np.ndarray, np.ndarray, float]:
 def _fit(table: pa.Table) -> pa.Table:
     table = table.sort_by("doc_id")
     f = table.column("f").combine_chunks()
-    flat, at = f.flatten().to_numpy().reshape(-1, 3), np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]) // 3
+    flat, at = f.flatten().to_numpy().reshape(-1, WIDTH), np.concatenate([[0], np.cumsum(f.value_lengths().to_numpy())]) // WIDTH
     docs = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     y = table.column("y").to_numpy().astype(np.int64)
     tags = _label(docs, y)
@@ -258,7 +264,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 w = T.words(part, base, T.ALNUM)
                 at, p = crf.tag(w)
                 doc = w.doc[at]
-                none = np.log1p(-np.minimum(p, 1 - 1e-12))
+                none = np.where(p >= NOTABLE, np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0)
                 total[i:j] = np.bincount(doc, weights=none, minlength=j - i)
                 hot = at[p >= threshold]
                 if len(hot):
