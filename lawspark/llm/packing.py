@@ -17,6 +17,7 @@ signs meet, which are borders for the tokenizer too; words with an apostrophe,
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from lawspark.session import scratch_dir
 LENGTH = 4096
 END = 2
 GROUP = 4096
-CACHE = 300_000  # words kept per Python worker
-RUN = 8 << 20  # bytes of text tokenised at once
+CACHE = 100_000  # words kept per Python worker
+CALL = 4096  # words tokenised in one call
 
 # 0 white space, 1 letter, 2 digit, 3 other sign, 4 non-ASCII
 _CLASS = np.full(256, 3, np.uint8)
@@ -50,6 +51,7 @@ class WordTokenizer:
     """Token ids of texts, through a cache of words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
@@ -60,8 +62,9 @@ class WordTokenizer:
         if len(self.known) + len(new) > CACHE:
             self.known = {}
             new = vocabulary
-        if new:
-            for w, e in zip(new, self.encoder.encode_batch(new, add_special_tokens=False), strict=True):
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
                 self.known[w] = tuple(e.ids)
         return [self.known[w] for w in vocabulary]
 
@@ -126,10 +129,12 @@ def _pieces(path: str, length: int, end: int, seed: int):
         task = TaskContext.get()
         rng = np.random.default_rng([seed, task.partitionId() if task else 0])
         # The worker outlives the task; so do the words it knows.
-        tokenizer = _tokenizers.setdefault(path, WordTokenizer(path)) if path not in _tokenizers else _tokenizers[path]
+        if path not in _tokenizers:
+            _tokenizers[path] = WordTokenizer(path)
+        tokenizer = _tokenizers[path]
         for b in batches:
             data, offsets = T.utf8(b.column("text"))
-            for i, j in T.slices(offsets, RUN):
+            for i, j in T.slices(offsets):
                 ids, to = tokenizer.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
                 whole = np.diff(to)
                 n = -(-whole // length)
