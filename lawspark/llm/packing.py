@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +78,7 @@ class WordTokenizer:
         low = data.copy()
         kept = T.NOT_SPACE[data]
         marked = np.zeros(len(data) + 1, np.int64)  # words with "<" keep their case: special tokens
-        bracket = np.logical_or.reduceat(data == ord("<"), w.start) if len(data) else np.zeros(0, bool)
+        bracket = np.logical_or.reduceat(data == ord("<"), w.start)
         np.add.at(marked, w.start[bracket], 1)
         np.add.at(marked, w.end[bracket], -1)
         plain = np.cumsum(marked[:-1]) == 0
@@ -119,7 +119,10 @@ class WordTokenizer:
         return at, w.doc[np.searchsorted(w.start, at, "right") - 1]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: it outlives the task, and so do the words it knows."""
+    return WordTokenizer(path)
 
 
 def _pieces(path: str, length: int, end: int, seed: int):
@@ -128,10 +131,7 @@ def _pieces(path: str, length: int, end: int, seed: int):
 
         task = TaskContext.get()
         rng = np.random.default_rng([seed, task.partitionId() if task else 0])
-        # The worker outlives the task; so do the words it knows.
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        tokenizer = _tokenizers[path]
+        tokenizer = _tokenizer(path)
         for b in batches:
             data, offsets = T.utf8(b.column("text"))
             for i, j in T.slices(offsets):
