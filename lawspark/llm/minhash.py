@@ -34,7 +34,7 @@ from lawspark.session import written
 
 BINS, ROWS = 128, 4  # 32 bands of 4 bins: at similarity 0.8 a pair misses all with 5e-8
 CROWD_BINS, CROWD_ROWS = 512, 8  # for crowds, 64 bands of 8 bins: with 8e-6
-CENTRES, GROWTH = 16, 8  # centres of a bucket, times this at each further level
+CENTRES, GROWTH = 16, 128  # centres of a bucket, times this at each further level
 PARTS = 128  # parts of the hash range in which a set's members are counted
 _PART = np.uint64(64 - 7)
 
@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple
 
     star = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = written(_verified(star.distinct(), sets, percent), "links")
+    label = components(links)
     level, wide = 0, CENTRES
     while True:
-        label = components(links)
         open_ = _unresolved(members, label).where("centre is null or node > centre").select("bucket", "node", "root")
         open_ = written(_linkable(open_, sets, percent), "open")
         w = Window.partitionBy("bucket").orderBy("node")
