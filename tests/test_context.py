@@ -142,3 +142,20 @@ def test_answer_records(spark, calls):
         "id": 1, "name": "extract_clause_point", "args": {"article": 2}, "status": "success",
         "results_count": min(50, sum(c[3] == 2 for c in CHUNKS)),
     }
+
+
+def test_calls_that_are_no_strict_json(spark):
+    from lawspark.operators import toolcalls
+
+    good = '{"name": "extract_clause_point", "arguments": {"article": 7}}'
+    bad = [
+        "{'name': 'extract_clause_point', 'arguments': {'article': 1}}", good + "}", good + "]", good + " x",
+        good + ", {}", good[:-1], "[1]", "", '"text"', good + ',"y":{}',
+    ]
+    text = '{"name": "extract_clause_point", "arguments": "{\\"article\\": 7}"}'
+    response = "".join(f"<tool_call>{c}</tool_call>" for c in [*bad, f"\n {good}\n", text])
+    df = spark.createDataFrame([(1, response)], "resp_id bigint, response string")
+    calls = toolcalls.check_calls(toolcalls.extract_calls(df)).orderBy("call_id").collect()
+    assert [(c.call_id, c.callable, c.article) for c in calls] == [(1, True, 7), (2, False, None)]
+    skipped = toolcalls.skipped_calls(df).collect()
+    assert sorted((s.place, s.call) for s in skipped) == list(enumerate(bad, 1))

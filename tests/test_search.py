@@ -163,3 +163,30 @@ def test_rerank(spark):
     scored = c.withColumn("s", search.cross_encode(F.lit("q"), F.col("text"), open_model))
     rows = search.rerank(scored, 3, "s").orderBy("rank").collect()
     assert [(r.id, r.total_score, r["rank"]) for r in rows] == [(2, 2.0, 1), (3, 2.0, 2), (1, 1.0, 3)]
+
+
+def test_vectors_that_are_no_numbers_lose_nothing(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(10)] + [(90, [float("nan"), 1.0]), (91, [float("nan"), 0.0])]
+    items = spark.createDataFrame(rows, "id bigint, v array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "q bigint, v array<float>")
+    for metric in ("dot", "cosine", "euclid"):
+        got = dense.nearest(items, queries, 3, metric).collect()
+        assert len(got) == 3 and all(r.id < 90 for r in got)
+
+
+def test_vectors_of_mixed_sizes_are_named(spark):
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], "id bigint, v array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "q bigint, v array<float>")
+    with pytest.raises(Exception, match="different sizes|vectors of size"):
+        dense.nearest(items.coalesce(1), queries).collect()
+
+
+def test_stored_postings_search_as_texts_do(spark):
+    docs = spark.createDataFrame([(i, f"common w{i % 5} w{i % 3} x{i}") for i in range(40)], "id bigint, text string")
+    queries = spark.createDataFrame([(1, "common w1"), (2, "x7 x9 nothing"), (3, "")], "q bigint, text string")
+    model = lexical.fit(docs)
+    stored = search.postings(docs, model, "id", "postings_test")
+    got = search.postings_search(stored, queries, model, "q", 5).select("query_id", "id", "rank").collect()
+    want = search.sparse_search(*lexical.search_vectors(docs, queries, model, "id", "q"), k=5)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("query_id", "id", "rank").collect()))
+    spark.sql("DROP TABLE postings_test")
