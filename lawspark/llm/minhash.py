@@ -34,6 +34,7 @@ from lawspark.session import written
 
 BINS, ROWS = 128, 4  # 32 bands of 4 bins: at similarity 0.8 a pair misses all with 5e-8
 CROWD_BINS, CROWD_ROWS = 512, 8  # for crowds, 64 bands of 8 bins: with 8e-6
+RUN = 1024  # texts signed at once
 CENTRES, GROWTH = 16, 128  # centres of a bucket, times this at each further level
 PARTS = 128  # parts of the hash range in which a set's members are counted
 _PART = np.uint64(64 - 7)
@@ -95,6 +96,13 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.unique(shingle[at[d] : at[d + 1]])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short runs of the batches, so that few sets are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, RUN):
+            yield b.slice(at, RUN)
+
+
 def _list_array(rows: np.ndarray) -> pa.Array:
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel()))
@@ -102,7 +110,7 @@ def _list_array(rows: np.ndarray) -> pa.Array:
 
 def _sign(k: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _runs(batches):
             sets = list(shingle_sets(b.column("text"), k))
             some = np.array([len(s) > 0 for s in sets], bool)
             key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -122,7 +130,7 @@ def _sets(k: int):
     """Sets of the nodes' sample rows: those whose text still has the node's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _runs(batches):
             node, key, out = b.column("node").to_pylist(), b.column("key").to_pylist(), []
             for i, s in enumerate(shingle_sets(b.column("text"), k)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key[i]:
@@ -142,8 +150,11 @@ def _resign(level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        for b in batches:
-            sets = [np.sort(T.mix(np.array(s, np.int64).view(np.uint64) ^ salt)) for s in b.column("items").to_pylist()]
+        for b in _runs(batches):
+            items = b.column("items")
+            cut = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+            flat = T.mix(items.flatten().to_numpy().view(np.uint64) ^ salt)
+            sets = [np.sort(flat[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
             rows = np.zeros((0, CROWD_BINS // CROWD_ROWS), np.int64)
             if sets:
                 rows = bands(signatures(sets, CROWD_BINS), CROWD_ROWS)

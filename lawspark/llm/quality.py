@@ -75,10 +75,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, cut = bucket[order], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))])
             for d in range(j - i):
                 f, n = np.unique(bucket[cut[d] : cut[d + 1]], return_counts=True)
-                at.append(f)
-                value.append(GAIN * n / max(1, n.sum()))
+                at.append(f.astype(np.int32))
+                value.append((GAIN * n / max(1, n.sum())).astype(np.float32))
         yield pa.record_batch(
-            [b.column("doc_id"), b.column("y"), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))],
+            [b.column("doc_id"), b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))],
             names=["doc_id", "y", "at", "value"],
         )
 
@@ -108,10 +108,10 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 3) -> np.nd
 
 def _fit(table: pa.Table) -> pa.Table:
     table = table.sort_by("doc_id")
-    rows = [
-        (np.array(a, np.int64), np.array(v), y)
-        for a, v, y in zip(*(table.column(c).to_pylist() for c in ("at", "value", "y")), strict=True)
-    ]
+    at, value = (table.column(c).combine_chunks() for c in ("at", "value"))
+    cut = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())])
+    at, value = at.flatten().to_numpy(), value.flatten().to_numpy()
+    rows = [(at[a:b], value[a:b], y) for a, b, y in zip(cut[:-1], cut[1:], table.column("y").to_pylist(), strict=True)]
     w = ftrl(rows)
     at = np.flatnonzero(w)
     return pa.table({"at": pa.array(at), "w": pa.array(w[at])})
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = P
     Without labels all weights are 0, and every score is 0.5.
     """
     sample = with_texts(docs, labelled_sample(labels, "quality", usable, (per_class, per_class)))
-    vectors = sample.mapInArrow(_vectors, "doc_id long, y int, at array<long>, value array<double>")
+    vectors = sample.mapInArrow(_vectors, "doc_id long, y int, at array<int>, value array<float>")
     fitted = vectors.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_fit, "at long, w double").toArrow()
     w = np.zeros((1 << BITS) + 1)
     w[fitted.column("at").to_numpy()] = fitted.column("w").to_numpy()
