@@ -56,12 +56,16 @@ class WordTokenizer:
 
         self.encoder = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.often: set[str] = set()  # words met in more than one run
 
     def _ids(self, vocabulary: list[str]) -> list[tuple[int, ...]]:
         new = [w for w in vocabulary if w not in self.known]
+        self.often.update(w for w in vocabulary if w in self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = vocabulary
+            kept = self.often if len(self.often) < CACHE // 2 else ()
+            self.known = {w: self.known[w] for w in kept}
+            self.often = set()
+            new = [w for w in vocabulary if w not in self.known]
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
             for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
