@@ -77,6 +77,8 @@ def store(pages: DataFrame, path: str | None = None) -> str:
         F.sha2(payload, 256).alias("digest"),
     )
     facts = pages.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
+    facts.write.parquet(f"{path}/facts")
+    facts = spark.read.parquet(f"{path}/facts")
     owners = facts.groupBy("digest").agg(F.max("page_id").alias("owner"))
     owners.write.parquet(f"{path}/owners")
     owners = spark.read.parquet(f"{path}/owners")
@@ -84,11 +86,12 @@ def store(pages: DataFrame, path: str | None = None) -> str:
     heads = facts.join(owners, "digest").mapInArrow(_heads, "page_id long, digest string, head binary")
     heads.write.parquet(f"{path}/heads")
     # One copy per digest: the owner's. Only a repeated owner row can leave two.
-    mine = pages.select("page_id", "digest", "payload").join(
-        owners.select(F.col("digest").alias("d"), "owner"),
-        (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("owner")),
-    )
-    once = mine.groupBy("digest").agg(F.first("payload").alias("payload"))
+    owner = owners.select(F.col("digest").alias("d"), "owner")
+    is_owner = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("owner"))
+    once = pages.select("page_id", "digest", "payload").join(owner, is_owner).select("digest", "payload")
+    repeated = facts.join(owner, is_owner).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        once = once.groupBy("digest").agg(F.first("payload").alias("payload"))
     once.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 

@@ -232,6 +232,9 @@ def test_archive(spark):
         want = html if fields["WARC-Type"] == "response" else b""
         assert body == want + b"\r\n\r\n" and int(fields["Content-Length"]) == len(want)
     assert warc.index(spark, warc.store(df.where("false"))).count() == 0
+    twice = warc.store(df.unionAll(df.where("page_id = 2")))  # a repeated owner: its payload is still stored once
+    assert spark.read.parquet(f"{twice}/payloads").groupBy("digest").count().where("count > 1").count() == 0
+    assert sorted(r.page_id for r in warc.index(spark, twice).collect()) == [1, 2, 2, 3, 4, 5, 6]
 
 
 def pii_row(t):
