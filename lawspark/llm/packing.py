@@ -55,9 +55,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        # Plain words skip the tokenizer's text steps, if these leave such words alone.
+        probe = ["a", "hello", "packing", "7", "!?", "--", "zzqx"]
+        self.direct = all(self._plain(w) == tuple(self._full([w])[0].ids) for w in probe)
         self.known: dict[str, tuple[int, ...]] = {}
         self.often: set[str] = set()  # words met in more than one run
 
+    def _plain(self, word: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.encoder.model.tokenize(word)])
+
+    def _full(self, words: list[str]):
+        return self.encoder.encode_batch(words, add_special_tokens=False)
+
     def _ids(self, vocabulary: list[str]) -> list[tuple[int, ...]]:
         new = [w for w in vocabulary if w not in self.known]
         self.often.update(w for w in vocabulary if w in self.known)
@@ -66,10 +75,14 @@ class WordTokenizer:
             self.known = {w: self.known[w] for w in kept}
             self.often = set()
             new = [w for w in vocabulary if w not in self.known]
+        if self.direct:
+            # Cut, lower-cased and printable ASCII: one word to the tokenizer, each byte its own sign.
+            plain = [w for w in new if w.isascii() and w.isprintable() and "'" not in w and "<" not in w]
+            self.known.update((w, self._plain(w)) for w in plain)
+            new = [w for w in new if w not in self.known]
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
-            for w, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
+            self.known.update((w, tuple(e.ids)) for w, e in zip(part, self._full(part), strict=True))
         return [self.known[w] for w in vocabulary]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
