@@ -18,6 +18,7 @@ signs meet, which are borders for the tokenizer too; words with an apostrophe,
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +47,12 @@ _WHOLE = np.zeros(256, bool)  # a word with one of these stays whole
 _WHOLE[0x80:] = True
 _WHOLE[[ord("'"), ord("<")]] = True
 
+_LATIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")  # lower case; no ' and no <
+# Byte-level vocabularies write a byte as the character of its number if that is printable, else from 256 on.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
 
 class WordTokenizer:
     """Token ids of texts, through a cache of words."""
@@ -57,7 +64,9 @@ class WordTokenizer:
         self.encoder = Tokenizer.from_file(path)
         # Plain words skip the tokenizer's text steps, if these leave such words alone.
         probe = ["a", "hello", "packing", "7", "!?", "--", "zzqx"]
+        accents = "".join(map(_BYTES.__getitem__, "été".encode()))
         self.direct = all(self._plain(w) == tuple(self._full([w])[0].ids) for w in probe)
+        self.direct &= self._plain(accents) == tuple(self._full(["été"])[0].ids)
         self.known: dict[str, tuple[int, ...]] = {}
         self.often: set[str] = set()  # words met in more than one run
 
@@ -79,6 +88,11 @@ class WordTokenizer:
             # Cut, lower-cased and printable ASCII: one word to the tokenizer, each byte its own sign.
             plain = [w for w in new if w.isascii() and w.isprintable() and "'" not in w and "<" not in w]
             self.known.update((w, self._plain(w)) for w in plain)
+            for w in new:  # letters of Latin alphabets, then signs: a word of bytes, and one of signs
+                m = None if w.isascii() else _LATIN.fullmatch(w.lower())
+                if m:
+                    letters = "".join(map(_BYTES.__getitem__, m[1].encode()))
+                    self.known[w] = self._plain(letters) + (self._plain(m[2]) if m[2] else ())
             new = [w for w in new if w not in self.known]
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
