@@ -110,8 +110,8 @@ class WordTokenizer:
         kept = T.NOT_SPACE[data]
         marked = np.zeros(len(data) + 1, np.int64)  # words with "<" keep their case: special tokens
         bracket = np.logical_or.reduceat(data == ord("<"), w.start)
-        np.add.at(marked, w.start[bracket], 1)
-        np.add.at(marked, w.end[bracket], -1)
+        marked[w.start[bracket]] += 1
+        marked[w.end[bracket]] -= 1
         plain = np.cumsum(marked[:-1]) == 0
         low[plain] = T.LOWER[data[plain]]
         packed = low[kept]
@@ -129,8 +129,8 @@ class WordTokenizer:
         to = np.concatenate([[0], np.cumsum(per_doc)])
         out = np.full(to[-1], end, np.uint32)
         total = int(count.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        out[np.arange(total) + np.repeat(doc, count)] = flat[np.repeat(first[code], count) + step]
+        every = np.arange(total)
+        out[every + np.repeat(doc, count)] = flat[every + np.repeat(first[code] - (np.cumsum(count) - count), count)]
         return out, to
 
     @staticmethod
@@ -142,8 +142,8 @@ class WordTokenizer:
         border &= c > 0
         whole = np.logical_or.reduceat(_WHOLE[w.data], w.start)  # up to the next word: only spaces follow
         step = np.zeros(len(c) + 1, np.int64)
-        np.add.at(step, w.start[whole], 1)
-        np.add.at(step, w.end[whole], -1)
+        step[w.start[whole]] += 1  # starts differ from each other, and so do ends
+        step[w.end[whole]] -= 1
         border &= np.cumsum(step[:-1]) == 0
         border[w.start] = True
         at = np.flatnonzero(border)
