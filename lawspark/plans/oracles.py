@@ -447,6 +447,7 @@ ORACLES: dict[str, str] = {
     "texts_round_trip": "SELECT item_id, text FROM benchmark",
     "documents_json_round_trip": """SELECT doc_id, doc_id % 7 <> 0 AS good, doc_id % 7 <> 0 AS same
         FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "documents_json_lines_round_trip": "SELECT doc_id, doc_id % 7 <> 0 AS good, doc_id % 7 <> 0 AS same FROM documents",
     "collection_scan": f"""WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks WHERE article_number = 1
         ORDER BY {_DOC_ORDER} LIMIT 100""",
     "stream_ingest": f"WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks",

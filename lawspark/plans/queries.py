@@ -339,9 +339,10 @@ def texts_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed statutes of labelled documents as JSON files, every seventh broken: read and quarantined.
+    """Parsed statutes of labelled toxic documents as JSON files, every seventh broken: read and quarantined.
 
-    ``same`` tells whether the tree that was read equals the one written.
+    One file per document, so a part of the documents only, which the oracle
+    fixes; ``documents_json_lines_round_trip`` takes all. ``same`` tells whether the tree that was read equals the one written.
     """
     texts = statute_texts(spark, sf).join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi")
     tree = written(parse.parse_documents(texts), "tree")
@@ -359,6 +360,30 @@ def documents_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def documents_json_lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """All parsed statutes as JSON lines, every seventh broken: read and quarantined.
+
+    ``same`` tells whether the tree that was read equals the one written.
+    """
+    tree = written(_tree(spark, sf).select("doc_id", "document_title", "legal_basis", "chapters"), "tree")
+    path = scratch_dir(spark, "json")
+    broken = F.col("doc_id") % 7 == 0
+    corpus.write_documents(tree.where(~broken), path)
+    line = F.concat(F.to_json(F.struct(*tree.columns)), F.lit("}"))
+    tree.where(broken).select(line.alias("value")).write.mode("append").text(path)
+    good, bad = corpus.read_document_lines(spark, path)
+
+    def digest(chapters: Column) -> Column:
+        return F.sha2(F.to_json(F.struct("document_title", "legal_basis", chapters.alias("chapters"))), 256)
+
+    read = good.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("chapters")).alias("read"))
+    lost = F.regexp_extract("text", r'^\{"doc_id":([0-9]+),', 1).cast("bigint").alias("doc_id")
+    rows = read.unionByName(bad.select(lost, F.lit(None).cast("string").alias("read")))
+    return rows.join(tree.select("doc_id", digest(corpus.lean(F.col("chapters"))).alias("put")), "doc_id").select(
+        "doc_id", F.col("read").isNotNull().alias("good"), F.coalesce(F.col("read") == F.col("put"), F.lit(False)).alias("same")
+    )
+
+
 def _statute_collection(spark: SparkSession, doc_id: str) -> str:
     """A new collection whose documents have ids of the type ``doc_id``."""
     name = "statutes_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
@@ -605,6 +630,7 @@ QUERIES: dict[str, Query] = {
     "chunk_ids": chunk_ids,
     "texts_round_trip": texts_round_trip,
     "documents_json_round_trip": documents_json_round_trip,
+    "documents_json_lines_round_trip": documents_json_lines_round_trip,
     "collection_scan": collection_scan,
     "stream_ingest": stream_ingest,
 }

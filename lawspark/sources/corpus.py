@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawspark.functions.text import is_json_object
@@ -50,12 +50,25 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, raw.where(~F.col("good")).select("doc_id", "text")
 
 
-def write_documents(tree: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parsed documents as JSON lines.
+def read_document_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed JSON documents, one per line of any number of files: ``(documents, quarantined)``.
 
-    Empty ``points`` and missing categories and references are left out of the
-    text, since null fields are not written.
+    The id stands in the line. Bad lines are rows ``(doc_id, text)`` of the
+    second table, the id being the path of their file; for the rest as
+    ``read_documents``.
     """
+    try:
+        lines = spark.read.text(path)
+        raw = _checked(lines.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
+    except AnalysisException as e:
+        log.error("no documents at %s: %s", path, e)
+        raw = _checked(spark.createDataFrame([], _RAW))
+    good = raw.where("good").select(F.from_json("text", f"doc_id string, {TREE}").alias("d")).select("d.*")
+    return good, raw.where(~F.col("good")).select("doc_id", "text")
+
+
+def lean(chapters: Column) -> Column:
+    """Chapters as they are written: null in the place of empty ``points``."""
     def clause(k):
         return k.withField("points", F.when(F.size(k["points"]) > 0, k["points"]))
 
@@ -65,4 +78,13 @@ def write_documents(tree: DataFrame, path: str, mode: str = "errorifexists") ->
     def chapter(c):
         return c.withField("articles", F.transform(c["articles"], article))
 
-    tree.withColumn("chapters", F.transform("chapters", chapter)).write.mode(mode).json(path)
+    return F.transform(chapters, chapter)
+
+
+def write_documents(tree: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parsed documents as JSON lines.
+
+    Empty ``points`` and missing categories and references are left out of the
+    text, since null fields are not written.
+    """
+    tree.withColumn("chapters", lean(F.col("chapters"))).write.mode(mode).json(path)
