@@ -109,7 +109,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 def _looser(t: str) -> Iterator[tuple[int, int, int]]:
-    if " dot " in t or " DOT " in t or "[dot]" in t or "(dot)" in t:
+    if "dot" in t or "DOT" in t:  # each match holds one of them
         yield from ((0, m.start(), m.end()) for m in _SPELT.finditer(t))
     if not _DIGIT.search(t):
         return
