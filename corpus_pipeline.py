@@ -33,11 +33,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id, then text hash; null ids last."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     found = minhash.near_duplicates(docs.withColumn("__text", text), carry=("__text",))
-    fate = found.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "kept")
-    fate = written(fate.groupBy("__id", "__hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "fates")
+    group = [F.col("component"), F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")]
+    fate = written(found.groupBy(*group).agg(F.count("*").alias("n")), "groups")
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
+    first = fate.groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.__id").alias("first_id"), F.col("first.__hash").alias("first_hash")).distinct()
+    is_first = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__hash") == F.col("first_hash"))
+    fate = fate.groupBy("__id", "__hash").agg(F.sum("n").alias("n")).join(first, is_first, "left")
+    fate = written(fate.select("__id", "__hash", F.col("first_hash").isNotNull().alias("kept"), "n"), "fates")
     own = docs.withColumn("__text", text)
     here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
     rest = own.join(fate.where("not kept"), here, "left_anti")
