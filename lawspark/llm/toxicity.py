@@ -12,9 +12,8 @@ Most tokens then have no weight at all. Between two tokens with weight the
 chain only repeats one fixed step, so forward and backward sums jump over the
 gap by a power of that step's matrix, and a text costs as many steps as it has
 tokens with weight. The result is exact for the whole text. A document's score
-is the chance that at least one of its suspicious tokens (``NOTABLE`` chance or
-more) is toxic; lesser chances are not summed up, or any long text would seem
-toxic.
+is the chance that at least one of its tokens with weight is toxic, however
+small the chance of each; tokens without weight are left out.
 """
 
 from __future__ import annotations
@@ -34,7 +33,6 @@ BITS = 18
 SAMPLE = (6000, 2000)  # other and toxic training documents, at most
 PREFIXES = (4, 5, 6, 7)
 WIDTH = 1 + len(PREFIXES)  # features of a token
-NOTABLE = 0.3
 WINDOW = 32
 CLEAN_WINDOWS = 1  # windows without toxic tokens kept, for each one with some
 MIN_ODDS, MIN_RATIO = 3.0, 25.0  # log-odds, likelihood ratio
@@ -264,7 +262,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 w = T.words(part, base, T.ALNUM)
                 at, p = crf.tag(w)
                 doc = w.doc[at]
-                none = np.where(p >= NOTABLE, np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0)
+                none = np.log1p(-np.minimum(p, 1 - 1e-12))
                 total[i:j] = np.bincount(doc, weights=none, minlength=j - i)
                 hot = at[p >= threshold]
                 if len(hot):
