@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawspark.llm import decontam, licenses, media, minhash, packing, pii, quality, toxicity, urls, warc
+from lawspark.llm import (
+    alignment, decontam, licenses, media, minhash, packing, pii, quality, ranked, toxicity, urls, vectors, warc,
+)
 from lawspark.llm.tables import crc32_of_id, table
 from lawspark.session import scratch_dir
 
@@ -15,10 +17,10 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 SPAM_WORDS = ("casino", "pills", "adult", "spam")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +102,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, crc32_of_id() % 4 == 2, 0.3, "spans")
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = ranked.index(table(spark, sf_dir, "documents"))
+    return ranked.search(stored, table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def _judged(scored: DataFrame, held_out, threshold: float, *more: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score",
@@ -111,8 +127,45 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_minhash, op3_urls, op4_decontam, op5_licenses, op6_quality, op7_warc, op8_pii, op9_media,
-        op10_toxicity,
+        op10_toxicity, op11_vectors, op12_ranked, op13_alignment,
     )
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sql_terms(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+ORACLES: dict[str, str] = {
+    "op11_vectors": """
+        WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+        ),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM u UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
+        FROM u JOIN least ON vec_id = least.x LEFT JOIN n ON vec_id = n.x
+    """,
+    "op12_ranked": f"""
+        WITH d AS (SELECT doc_id, {_sql_terms("text")} AS t FROM documents),
+        c AS (SELECT count(*)::BIGINT AS nd, sum(len(t))::BIGINT AS l FROM d WHERE len(t) > 0),
+        p AS (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d),
+        tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM p GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+        q AS (SELECT item_id, unnest({_sql_terms("text")}) AS term FROM benchmark),
+        w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+        s AS (
+            SELECT item_id, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term), c GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 10
+    """,
+}
