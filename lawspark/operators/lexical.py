@@ -81,27 +81,19 @@ def _idf(df: Column, doc_count: Column) -> Column:
     return F.log((doc_count - df + 0.5) / (df + 0.5) + 1)
 
 
-def fit(
+def corpus_counts(
     docs: DataFrame,
     text_col: str = "text",
     segmenter: Segmenter | None = None,
-    k1: float = K1,
-    b: float = B,
     only_terms: DataFrame | None = None,
-) -> BM25Model:
-    """Statistics and idf of a corpus, in one pass over it.
+) -> DataFrame:
+    """``(term, df, len)`` of a corpus, in one pass over it; what a model is made of.
 
     Each text lists its distinct terms once, and a null that stands for the
     text itself and carries its length: one aggregation by term, combined
     before the shuffle, yields the document frequencies and, in the null row,
-    the number and length of the texts (empty ones included). The result is
-    written to the shared scratch folder, so that every use reads it and Spark
-    knows its size when it plans joins with it.
-
-    ``only_terms(term)`` keeps the vocabulary to the terms a search asks for:
-    weights of other terms never enter a dot product, so results are the same.
-    They are a written table, applied before counting; Spark picks the join by
-    its size.
+    the number and length of the texts (empty ones included). Counts of
+    disjoint corpora add up, and those of removed texts can be taken off.
     """
     t = tokenise(docs.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
     text_itself = F.array(F.lit(None).cast("string"))
@@ -113,11 +105,14 @@ def fit(
         itself = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))
         asked = written(only_terms.select("term").unionByName(itself), "terms")
         listed = listed.join(asked, listed["term"].eqNullSafe(asked["term"]), "left_semi")
-    counted = listed.groupBy("term").agg(
+    return listed.groupBy("term").agg(
         F.count("*").alias("df"),
         F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len"),
     )
-    terms = written(counted, "bm25")
+
+
+def model_of(terms: DataFrame, k1: float = K1, b: float = B) -> BM25Model:
+    """The model of a written table of ``corpus_counts``."""
     total = F.coalesce(F.max("len"), F.lit(0)).cast("bigint")
     stats = terms.where("term IS NULL").agg(
         F.coalesce(F.max("df"), F.lit(0).cast("bigint")).alias("doc_count"), total.alias("total_len")
@@ -132,6 +127,27 @@ def fit(
     return BM25Model(stats, vocab, k1, b)
 
 
+def fit(
+    docs: DataFrame,
+    text_col: str = "text",
+    segmenter: Segmenter | None = None,
+    k1: float = K1,
+    b: float = B,
+    only_terms: DataFrame | None = None,
+) -> BM25Model:
+    """Statistics and idf of a corpus, in one pass over it.
+
+    The counts are written to the shared scratch folder, so that every use
+    reads them and Spark knows their size when it plans joins with them.
+
+    ``only_terms(term)`` keeps the vocabulary to the terms a search asks for:
+    weights of other terms never enter a dot product, so results are the same.
+    They are a written table, applied before counting; Spark picks the join by
+    its size.
+    """
+    return model_of(written(corpus_counts(docs, text_col, segmenter, only_terms), "bm25"), k1, b)
+
+
 def with_term_ids(model: BM25Model, partitions: int | None = None) -> BM25Model:
     """Number the terms from 0 in code-point order.
 

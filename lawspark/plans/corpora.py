@@ -39,13 +39,17 @@ def _roman(n: Column) -> Column:
 
 
 def statute_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each of ``documents`` written as a statute: ``(doc_id, text)``.
+    """Each of ``documents`` written as a statute: ``(doc_id, text)``."""
+    return statutes_of(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def statutes_of(docs: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, lang, source, text)`` written as statutes: ``(doc_id, text)``.
 
     The text is cut into units at line and sentence ends. Of every six units
     one is an article's heading, one a clause with the next three as its two
     points, one a clause of its own; every 18 open a section, every 36 a chapter.
     """
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     units = docs.select(
         "doc_id", "lang", "source",
         F.array_remove(F.transform(F.split("text", "[.\n]+"), strip), "").alias("units"),

@@ -307,6 +307,33 @@ def _embedded(c: str) -> str:
             f"::DOUBLE, 6) AS v_{c}")
 
 
+# The statutes' passages in a collection: vowels as vectors, words as terms.
+_CHUNK_ID = "sha256(concat_ws('/', doc_id, chapter_pos, article_pos, clause_pos, point_pos))"
+
+
+def _vowel_vector() -> str:
+    parts = ", ".join(f"({_vowel(c)} / {_VOWEL_NORM})::FLOAT::DOUBLE" for c in _VOWELS)
+    return f"CASE WHEN {_VOWEL_NORM} = 0 THEN [0.0, 0, 0, 0, 0]::DOUBLE[] ELSE [{parts}] END"
+
+
+_STORED = f"""{_UNITS}, keyed AS (SELECT *, {_CHUNK_ID} AS key FROM chunks),{_bm25('keyed', 'key')},
+{_query_weights('benchmark', 'item_id')},
+sp_all AS (SELECT qid, id, round(sum(qw.w * w.w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL),
+de_all AS (SELECT qid, id, round(CASE WHEN list_sum(a) = 0 OR list_sum(b) = 0 THEN 0 ELSE {_COSINE} END, 6) AS score FROM
+  (SELECT item_id AS qid, {_vowel_vector()} AS a FROM benchmark), (SELECT key AS id, {_vowel_vector()} AS b FROM keyed))"""
+
+
+def _fused(limit: int) -> str:
+    return f"""sp AS ({_top('sp_all', 2 * limit)}), de AS ({_top('de_all', 2 * limit)}),
+fu AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS total_score,
+  max(ds) AS dense_score, max(ss) AS sparse_score
+  FROM (SELECT qid, id, rank, score AS ds, NULL::DOUBLE AS ss FROM de
+    UNION ALL SELECT qid, id, rank, NULL, score FROM sp) GROUP BY qid, id),
+hy AS ({_top('fu', limit, 'total_score DESC, id')})"""
+
+
+_TOLD = """text, document_title, article_number::BIGINT AS article_number, clause_number::BIGINT AS clause_number, point"""
+
 _LENS = f"""lens AS (SELECT 'chars' AS measure, length(text) AS len FROM documents
   UNION ALL SELECT 'words', len({_words('text')}) FROM documents)"""
 
@@ -451,4 +478,25 @@ ORACLES: dict[str, str] = {
     "collection_scan": f"""WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks WHERE article_number = 1
         ORDER BY {_DOC_ORDER} LIMIT 100""",
     "stream_ingest": f"WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks",
+    "dense_index_cosine": _dense("cosine", 14),
+    "dense_index_euclid": _dense("euclid", 7, "score, id"),
+    "block_max_topk": f"WITH {_SPARSE} SELECT qid AS item_id, id AS doc_id, score, rank FROM ({_top('sp_all', 14)})",
+    "ingest_replacements": f"WITH {_UNITS} SELECT {_POS_BIG}, text, 5::BIGINT AS dim FROM chunks",
+    "ingest_model": f"""WITH {_UNITS}, keyed AS (SELECT *, {_CHUNK_ID} AS key FROM chunks),{_bm25('keyed', 'key')}
+        SELECT term, df, round(idf, 6) AS idf FROM idf""",
+    "index_lookup_direct": f"WITH {_CODE}, {_DIRECT_REQ} SELECT req_id, {_HIT} FROM ({_lookup(_AT, 50)})",
+    "index_lookup_inbound": f"WITH {_CODE}, {_SUPPLIER_REQ} SELECT req_id, {_HIT} FROM ({_lookup(_TO, 50)})",
+    "index_lookup_outbound": f"WITH {_CODE}, {_SUPPLIER_REQ}, {_outbound()} SELECT req_id, {_HIT} FROM outb",
+    "retrieve_hybrid": f"""WITH {_STORED}, {_fused(7)}
+        SELECT qid AS item_id, rank, id, total_score, sparse_score, dense_score, {_TOLD} FROM hy JOIN keyed ON id = key""",
+    "retrieve_dense": f"""WITH {_STORED}, f AS (SELECT * FROM de_all WHERE score >= 0.4)
+        SELECT qid AS item_id, rank, id, score AS total_score, 0.0::DOUBLE AS sparse_score, score AS dense_score, {_TOLD}
+        FROM ({_top('f', 7)}) JOIN keyed ON id = key""",
+    "retrieve_reranked": f"""WITH {_STORED}, {_fused(20)},
+        pair AS (SELECT hy.qid, hy.id, hy.rank AS place, len(list_intersect(
+            list_filter(regexp_split_to_array(b.text, '[{_WS}]+'), lambda w: w <> ''),
+            list_filter(regexp_split_to_array(k.text, '[{_WS}]+'), lambda w: w <> '')))::DOUBLE / (1 + length(k.text)) AS score
+          FROM hy JOIN keyed k ON hy.id = key JOIN benchmark b ON item_id = hy.qid)
+        SELECT qid AS item_id, rank, id, round(score, 6) AS total_score
+        FROM ({_top('pair', 5, 'score DESC, place')})""",
 }

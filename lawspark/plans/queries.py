@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawspark.functions.text import lines, word_count
-from lawspark.operators import citation, context, dense, lexical, parse, profile, search, toolcalls
+from lawspark.operators import (
+    citation, citation_index, context, dense, lexical, parse, postings, profile, retrieve, search, toolcalls, vector_index,
+)
 from lawspark.operators.chunk import chunk_documents
 from lawspark.operators.points import build_points
 from lawspark.plans.corpora import (
-    code_chunks, direct_requests, responses, statute_texts, supplier_requests, table,
+    code_chunks, direct_requests, responses, statute_texts, statutes_of, supplier_requests, table,
 )
 from lawspark.session import scratch_dir, spread, written
-from lawspark.sources import collection, corpus, model_store
+from lawspark.sources import changes, collection, corpus, model_store
 from lawspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +100,16 @@ def collection_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.postings_search(stored, bench, model, "item_id", k=14), "item_id", "doc_id")
 
 
+def block_max_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search over stored blocks of like impact, of which those that cannot matter are skipped."""
+    docs, bench = _corpus(spark, sf)
+    model = lexical.fit(docs)
+    own = lexical.sparse_vectors(docs, model, "doc_id", key="term", keep_empty=False)
+    stored = postings.build(own, scratch_dir(spark, "postings"))
+    asked = lexical.sparse_vectors(bench, model, "item_id", key="term")
+    return _ranked(postings.search(stored, asked, k=14), "item_id", "doc_id")
+
+
 def _open_hyphen_segmenter():
     """Stand-in for a word segmenter: joins "of the" into one word."""
     return lambda texts: [t.replace("of the", "of_the") for t in texts]
@@ -145,6 +157,16 @@ def _dense_metric(metric: str) -> Query:
     return run
 
 
+def _indexed(metric: str, k: int) -> Query:
+    """The same neighbours over stored vectors, cells and rings out of reach unread."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        items, queries = _vectors(spark, sf)
+        index = vector_index.build(items, scratch_dir(spark, "vectors"), metric, cells=32)
+        return _ranked(vector_index.search(index, queries, k), "item_id", "vec_id")
+
+    return run
+
+
 def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings")
     scaled = emb.select("vec_id", F.posexplode(dense.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))))
@@ -420,35 +442,136 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return collection.current(spark, name).select(*_long("doc_id"), *_pos_columns(), "text")
 
 
+def _three_waves(spark: SparkSession, sf: str) -> tuple[str, ingest.Ledger]:
+    """Statutes taken in by a stream in three waves, with replacements, removals and repetitions.
+
+    First two thirds of the documents, half of these in a longer version, and
+    documents that are removed later; then the last third and the versions that
+    stay; then every document again, unchanged.
+    """
+    docs = documents_with_origin(spark, sf)
+    third = F.col("doc_id") % 3
+    final = statutes_of(docs)
+    longer = statutes_of(docs.where(third == 0).withColumn("text", F.concat("text", F.lit(".\n"), "text")))
+    brief = statutes_of(docs.where(F.col("doc_id") % 5 == 0)).withColumn("doc_id", -F.col("doc_id") - 1)
+    waves = [
+        longer.unionByName(final.where(third == 1)).unionByName(brief),
+        final.where(third != 1),
+        final.unionByName(brief.withColumn("text", F.lit(None).cast("string"))),
+    ]
+    name, ledger = _statute_collection(spark, "string"), ingest.Ledger.below(scratch_dir(spark, "ledger"))
+    files, checkpoint = scratch_dir(spark, "waves"), scratch_dir(spark, "stream")
+    for wave in waves:
+        wave.write.mode("append").parquet(files)
+        stream = spark.readStream.schema(final.schema).parquet(files)
+        ingest.ingest_changes(stream, name, ledger, _open_letter_model, checkpoint).awaitTermination()
+    return name, ledger
+
+
+def documents_with_origin(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+
+
+def ingest_replacements(spark: SparkSession, sf: str) -> DataFrame:
+    """After three waves the collection holds the last version's passages and no others."""
+    name, _ = _three_waves(spark, sf)
+    rows = collection.current(spark, name)
+    return rows.select(*_long("doc_id"), *_pos_columns(), "text", F.size("dense").cast("bigint").alias("dim"))
+
+
+def ingest_model(spark: SparkSession, sf: str) -> DataFrame:
+    """After three waves the summed counts give the model of the passages that are left."""
+    _, ledger = _three_waves(spark, sf)
+    model = changes.model(spark, ledger.counts)
+    return model.vocab.select("term", "df", r6("idf").alias("idf"))
+
+
+def _open_overlap_model():
+    """Stand-in for a cross-encoder: words of the question that the passage holds, by its length."""
+    def score(pairs):
+        return [len(set(q.split()) & set(t.split())) / (1 + len(t)) for q, t in pairs]
+
+    return score
+
+
+def _stored_statutes(spark: SparkSession, sf: str, with_model: bool = True) -> retrieve.StoredCollection:
+    """The statutes' passages in a collection, indexed."""
+    name = _statute_collection(spark, "bigint")
+    collection.upsert(build_points(_statute_chunks(spark, sf), _letters(), None), name)
+    points = collection.current(spark, name)
+    model = lexical.fit(points.select("text")) if with_model else None
+    return retrieve.index_collection(points, scratch_dir(spark, "index"), model)
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _told(found: DataFrame) -> DataFrame:
+    about = F.parse_json("metadata")
+    return found.select(
+        F.col("query_id").alias("item_id"), "rank", "id", "total_score", "sparse_score", "dense_score", "text",
+        *[F.try_variant_get(about, f"$.{c}", kind).alias(c) for c, kind in (
+            ("document_title", "string"), ("article_number", "bigint"), ("clause_number", "bigint"), ("point", "string"),
+        )],
+    )
+
+
+def retrieve_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages with their metadata, from the stored collection alone."""
+    return _told(retrieve.retrieve(_stored_statutes(spark, sf), _questions(spark, sf), _open_letter_model))
+
+
+def retrieve_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without a lexical model: vectors alone, above the threshold."""
+    stored = _stored_statutes(spark, sf, with_model=False)
+    return _told(retrieve.retrieve(stored, _questions(spark, sf), _open_letter_model))
+
+
+def retrieve_reranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The best five of twenty candidates by a model of pairs."""
+    found = retrieve.retrieve(
+        _stored_statutes(spark, sf), _questions(spark, sf), _open_letter_model, open_reranker=_open_overlap_model
+    )
+    return found.select(F.col("query_id").alias("item_id"), "rank", "id", r6("total_score").alias("total_score"))
+
+
 # --- citations --------------------------------------------------------------
 
 _HIT = ("rank", "doc_id", "article_number", "clause_number", "point", "text")
 
 
+def _code(spark: SparkSession, sf: str) -> DataFrame:
+    """The code's chunks, written: keys and payload are read from them apart."""
+    return written(code_chunks(spark, sf), "chunks")
+
+
 def lookup_direct(spark: SparkSession, sf: str) -> DataFrame:
-    return citation.lookup_direct(direct_requests(spark, sf), code_chunks(spark, sf)).select(
-        "req_id", *_HIT
-    )
+    return citation.lookup_direct(direct_requests(spark, sf), _code(spark, sf)).select("req_id", *_HIT)
 
 
 def lookup_inbound(spark: SparkSession, sf: str) -> DataFrame:
-    return citation.lookup_inbound(supplier_requests(spark, sf), code_chunks(spark, sf)).select(
-        "req_id", *_HIT
-    )
+    return citation.lookup_inbound(supplier_requests(spark, sf), _code(spark, sf)).select("req_id", *_HIT)
+
+
+def _by_index(lookup: Callable, requests: Callable) -> Query:
+    """The same look-up from a stored index."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        name = "code_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+        return lookup(requests(spark, sf), citation_index.build(code_chunks(spark, sf), name)).select("req_id", *_HIT)
+
+    return run
 
 
 def lookup_outbound(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = written(code_chunks(spark, sf), "chunks")
-    return citation.lookup_outbound(supplier_requests(spark, sf), chunks).select(
-        "req_id", *_HIT
-    )
+    return citation.lookup_outbound(supplier_requests(spark, sf), _code(spark, sf)).select("req_id", *_HIT)
 
 
 # --- context and tool calls -------------------------------------------------
 
 def format_records(spark: SparkSession, sf: str) -> DataFrame:
     requests = direct_requests(spark, sf)
-    return context.format_records(requests, citation.lookup_direct(requests, code_chunks(spark, sf)))
+    return context.format_records(requests, citation.lookup_direct(requests, _code(spark, sf)))
 
 
 def _chunk_results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -503,7 +626,7 @@ def tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     checked = toolcalls.check_calls(toolcalls.extract_calls(responses(spark, sf)))
-    return checked, toolcalls.resolve_calls(checked, written(code_chunks(spark, sf), "chunks"))
+    return checked, toolcalls.resolve_calls(checked, _code(spark, sf))
 
 
 def tool_call_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -633,4 +756,15 @@ QUERIES: dict[str, Query] = {
     "documents_json_lines_round_trip": documents_json_lines_round_trip,
     "collection_scan": collection_scan,
     "stream_ingest": stream_ingest,
+    "dense_index_cosine": _indexed("cosine", 14),
+    "dense_index_euclid": _indexed("euclid", 7),
+    "block_max_topk": block_max_topk,
+    "ingest_replacements": ingest_replacements,
+    "ingest_model": ingest_model,
+    "index_lookup_direct": _by_index(citation.lookup_direct, direct_requests),
+    "index_lookup_inbound": _by_index(citation.lookup_inbound, supplier_requests),
+    "index_lookup_outbound": _by_index(citation.lookup_outbound, supplier_requests),
+    "retrieve_hybrid": retrieve_hybrid,
+    "retrieve_dense": retrieve_dense,
+    "retrieve_reranked": retrieve_reranked,
 }

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lawspark.operators import citation
+from lawspark.operators import citation, citation_index
 from lawspark.schemas import CHUNK_POS, REFERENCES
+from lawspark.session import scratch_dir
 
 SCHEMA = (
     f"chunk_id string, doc_id bigint, chunk_pos {CHUNK_POS}, article_number bigint, "
@@ -122,3 +123,39 @@ def test_scan(tables):
     got = citation.scan(chunks, F.col("article_number") == 2, 4).collect()
     assert [r.chunk_id for r in got] == [c[0] for c in _at(2, None, None, 4)]
     assert citation.scan(chunks).count() == len(CHUNKS)
+
+
+@pytest.mark.parametrize("name,truth", [("direct", direct), ("inbound", inbound), ("outbound", outbound)])
+def test_lookup_by_index(spark, tables, name, truth):
+    requests, chunks = tables
+    table = "citations_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+    index = citation_index.build(chunks, table, buckets=4)
+    _check(getattr(citation, f"lookup_{name}")(requests, index), truth)
+    again = citation_index.load(spark, table)
+    _check(citation.lookup_direct(requests, again, cap=3), lambda q: direct(q, 3))
+    with pytest.raises(ValueError):
+        citation.lookup_direct(requests, again, cap=again.keep + 1)
+    citation_index.drop(spark, table)
+
+
+def test_index_is_read_in_place(spark, tables):
+    """Neither the lists nor the chunks are shuffled: no exchange stands above their scans before the join."""
+    requests, chunks = tables
+    table = "citations_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+    index = citation_index.build(chunks, table, buckets=4)
+    off = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(off)
+    spark.conf.set(off, "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = index.own(citation._keys(requests.where("article is not null"), ["article", "clause", "point"]), 50, ["text"])
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(off, before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and table in line]
+    assert len(scans) == 2
+    for i in scans:
+        above = [plan[i - n].strip(" :+-*()0123456789") for n in range(1, 4)]
+        assert not any(line.startswith("Exchange") for line in above), plan
+    assert sum("Exchange" in line for line in plan) == 2  # keys to the lists, hits to the chunks
