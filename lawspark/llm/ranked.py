@@ -74,25 +74,34 @@ def _blocks(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, n_docs: int) -> Iter
             yield own, rows, b"".join(packed)
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, hash and count of each distinct term, and the number of terms of each document."""
+    w = T.words(data, offsets, T.ALNUM)
+    h = T.hashes(w)
+    order = np.lexsort((h, w.doc))
+    doc, h = w.doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], h[first], np.diff(np.append(first, len(h))), w.counts()
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         column = b.column("text").cast(pa.large_string()).fill_null("")
         data, offsets = T.utf8(column)
         for i, j in T.slices(offsets, SLICE):
-            w = T.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], T.ALNUM)
-            h = T.hashes(w)
-            order = np.lexsort((h, w.doc))
-            doc, h = w.doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-            first = np.flatnonzero(new)
-            tf = np.diff(np.append(first, len(h)))
-            length, peak = w.counts(), np.zeros(j - i, np.int64)
-            np.maximum.at(peak, doc[first], tf)
-            raw = data[offsets[i] : offsets[j]].tobytes()
-            cut = (offsets[i : j + 1] - offsets[i]).tolist()
-            key = np.array([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)], object)
-            for own, rows, packed in _blocks(doc[first], h[first], tf, j - i):
+            # Terms are counted in shorter runs than blocks are made of: words take more room than their counts.
+            parts = []
+            for s, e in T.slices(offsets[i : j + 1]):
+                doc, h, tf, n = _counted(data[offsets[i + s] : offsets[i + e]], offsets[i + s : i + e + 1] - offsets[i + s])
+                parts.append((doc + s, h, tf, n))
+            doc, h, tf, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+            peak = np.zeros(j - i, np.int64)
+            np.maximum.at(peak, doc, tf)
+            cut = offsets[i : j + 1].tolist()
+            key = np.array([xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)], object)
+            for own, rows, packed in _blocks(doc, h, tf, j - i):
                 at = pa.array(i + own)
 
                 def lists(values: pa.Array, kind: pa.DataType) -> pa.Array:
@@ -175,7 +184,7 @@ def hits(texts: pa.Array, asked: Asked) -> tuple[np.ndarray, np.ndarray, np.ndar
     data, offsets = T.utf8(texts)
     found, n_terms = [], len(asked.hash)
     n_words = np.zeros(len(texts), np.int64)
-    for i, j in T.slices(offsets, SLICE):
+    for i, j in T.slices(offsets):
         w = T.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], T.ALNUM)
         n_words[i:j] = w.counts()
         h = T.hashes(w)
