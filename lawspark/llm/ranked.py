@@ -33,8 +33,8 @@ from lawspark.llm import text as T
 from lawspark.session import written
 
 K = 10
-BLOCK = 512  # documents of a block at most
-SLICE = 4 << 20  # bytes of text indexed at once; a longer text is a block of its own
+BLOCK, BLOCK_BYTES = 128, 256 << 10  # documents and text of a block at most; a longer text is a block of its own
+SLICE = 4 << 20  # bytes of text from which blocks are made
 LEVELS = (1, 2, 4, 8)
 HASHES, BITS = 3, 12  # slices of a term, slices per distinct term of the block's longest document
 QUERY_BYTES = 1 << 20  # query texts searched in one pass: bounds what is broadcast
@@ -51,14 +51,17 @@ def _power(n: int) -> int:
     return 1 << max(6, int(n - 1).bit_length())
 
 
-def _blocks(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, n_docs: int) -> Iterator[tuple[np.ndarray, list[int], bytes]]:
-    """Documents, slices of each level and packed slices of each block."""
+def _blocks(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, list[int], bytes]]:
+    """Documents, slices of each level and packed slices of each block; ``text`` is how long each document is."""
+    n_docs = len(text)
     distinct = np.bincount(doc, minlength=n_docs)
     kind = np.ceil(np.log2(np.maximum(distinct, 8))).astype(int)
     for size in np.unique(kind):
         members = np.flatnonzero(kind == size)
-        for at in range(0, len(members), BLOCK):
-            own = members[at : at + BLOCK]
+        # A document counts as much as fills the block by number or by text.
+        room = np.maximum(text[members], BLOCK_BYTES // BLOCK)
+        for start, end in T.slices(np.append(0, np.cumsum(room)), BLOCK_BYTES):
+            own = members[start:end]
             column = np.full(n_docs, -1)
             column[own] = np.arange(len(own))
             mine = column[doc] >= 0
@@ -101,7 +104,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.maximum.at(peak, doc, tf)
             cut = offsets[i : j + 1].tolist()
             key = np.array([xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)], object)
-            for own, rows, packed in _blocks(doc, h, tf, j - i):
+            for own, rows, packed in _blocks(doc, h, tf, np.diff(offsets[i : j + 1])):
                 at = pa.array(i + own)
 
                 def lists(values: pa.Array, kind: pa.DataType) -> pa.Array:

@@ -67,7 +67,7 @@ def test_equals_plain_python(spark, docs, items):
 
 def test_small_blocks(spark, docs, items, monkeypatch):
     """Many blocks of documents and of queries, and signatures so short that most bits are set."""
-    for name, value in (("BLOCK", 16), ("SLICE", 4000), ("BITS", 1)):
+    for name, value in (("BLOCK", 16), ("BLOCK_BYTES", 1600), ("SLICE", 4000), ("BITS", 1)):
         monkeypatch.setattr(ranked, name, value)
     assert found(spark, docs, items, k=3, query_bytes=3000) == brute(docs, items, 3)
 
