@@ -133,3 +133,14 @@ def retrieve(
         )
         rows = rerank(scored, top_n, "new")
     return rows.select("query_id", "rank", "id", "total_score", "sparse_score", "dense_score", "text", "metadata")
+
+
+_CITED = (
+    "document_title string, chapter_number bigint, article_number bigint, article_title string, "
+    "clause_number bigint, point string, type string"
+)
+
+
+def with_citation(found: DataFrame) -> DataFrame:
+    """Results with the columns of their metadata that a cited context shows."""
+    return found.withColumn("__m", F.from_json("metadata", _CITED)).select("*", "__m.*").drop("__m")

@@ -43,12 +43,16 @@ def statute_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statutes_of(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
-def statutes_of(docs: DataFrame) -> DataFrame:
+def statutes_of(docs: DataFrame, hard: bool = False) -> DataFrame:
     """Rows ``(doc_id, lang, source, text)`` written as statutes: ``(doc_id, text)``.
 
     The text is cut into units at line and sentence ends. Of every six units
     one is an article's heading, one a clause with the next three as its two
     points, one a clause of its own; every 18 open a section, every 36 a chapter.
+
+    In the ``hard`` form a section's heading stands in the middle of a point,
+    between its line and the next, and the first clause of every second
+    document has no number.
     """
     units = docs.select(
         "doc_id", "lang", "source",
@@ -69,11 +73,12 @@ def statutes_of(docs: DataFrame) -> DataFrame:
         ).otherwise("")
         number = nth(PER_SECTION).cast("string")
         section = F.when(
-            i % PER_SECTION == 0, F.concat(F.lit("Mục "), number, F.lit(". Nhóm "), number, F.lit("\n"))
+            i % PER_SECTION == (3 if hard else 0), F.concat(F.lit("Mục "), number, F.lit(". Nhóm "), number, F.lit("\n"))
         ).otherwise("")
+        first = F.when(F.col("doc_id") % 2 == 0, "Nội dung ").otherwise("1. ") if hard else F.lit("1. ")
         mark = (
             F.when(role == 0, F.concat(F.lit("Điều "), nth(PER_ARTICLE).cast("string"), F.lit(". ")))
-            .when(role == 1, "1. ").when(role == 2, "a) ").when(role == 3, "- ")
+            .when(role == 1, first).when(role == 2, "a) ").when(role == 3, "- ")
             .when(role == 4, "đ) ").otherwise("2. ")
         )
         return F.concat(chapter, section, mark, u)

@@ -144,6 +144,16 @@ chunks AS (SELECT doc_id, 'clause' AS kind, chapter_pos, article_pos, clause_pos
     'Căn cứ pháp lý của văn bản:' || chr(10) || legal_basis, document_title, NULL, NULL, NULL, NULL,
     NULL, NULL, NULL, NULL FROM tot)"""
 
+# The same where a section's heading stands in a point and first clauses of even documents have no number.
+_HARD = (
+    _UNITS.replace("'Mục ' || (i // 18 + 1) || '. Nhóm ' || (i // 18 + 1) AS category",
+                   "CASE WHEN i % 36 < 3 THEN '' ELSE 'Mục ' || ((i - 4) // 18 + 1) || '. Nhóm ' || ((i - 4) // 18 + 1) END AS category")
+    .replace("CASE WHEN i % 6 = 1 THEN 1 ELSE 2 END AS clause_number, u AS content",
+             "CASE WHEN i % 6 = 1 THEN doc_id % 2 ELSE 2 END AS clause_number, "
+             "CASE WHEN i % 6 = 1 AND doc_id % 2 = 0 THEN 'Nội dung ' || u ELSE u END AS content")
+    .replace("pt AS (SELECT doc_id, article_number, 1 AS clause_number", "pt AS (SELECT doc_id, article_number, doc_id % 2 AS clause_number")
+)
+
 _POS = "doc_id, chapter_pos, article_pos, clause_pos, point_pos"
 _POS_BIG = ("doc_id, chapter_pos::BIGINT AS chapter_pos, article_pos::BIGINT AS article_pos, "
             "clause_pos::BIGINT AS clause_pos, point_pos::BIGINT AS point_pos")
@@ -216,14 +226,15 @@ def _record(f: str) -> str:
 _KEY = ("lpad(doc_id::VARCHAR, 12, '0') || '/' || lpad(chapter_pos::VARCHAR, 6, '0') || '/' || "
         "lpad(article_pos::VARCHAR, 6, '0') || '/' || lpad(clause_pos::VARCHAR, 6, '0') || '/' || "
         "lpad(point_pos::VARCHAR, 6, '0')")
+_CITATION = """'--- Trích dẫn ' || rank || ' (' || CASE WHEN kind = 'legal_basis'
+    THEN 'Căn cứ pháp lý của: ' || document_title
+    ELSE 'Điểm ' || point || ', Khoản ' || clause_number || ', Điều ' || article_number || ' ('
+      || article_title || '), Chương ' || chapter_number END || ') ---' || chr(10)"""
 _FOUND = f"""{_UNITS}, keyed AS (SELECT *, {_KEY} AS key FROM chunks),{_bm25('keyed', 'key')},
 {_query_weights('benchmark', 'item_id')},
 sp_all AS (SELECT qid, id, round(sum(qw.w * w.w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL),
 top AS ({_top('sp_all', 7)}),
-cited AS (SELECT qid, rank, '--- Trích dẫn ' || rank || ' (' || CASE WHEN kind = 'legal_basis'
-    THEN 'Căn cứ pháp lý của: ' || document_title
-    ELSE 'Điểm ' || point || ', Khoản ' || clause_number || ', Điều ' || article_number || ' ('
-      || article_title || '), Chương ' || chapter_number END || ') ---' || chr(10) || text AS block
+cited AS (SELECT qid, rank, {_CITATION} || text AS block
   FROM top JOIN keyed ON id = key),
 ctx AS (SELECT item_id AS query_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY rank), '') AS context
   FROM benchmark LEFT JOIN cited ON qid = item_id GROUP BY item_id)"""
@@ -316,11 +327,16 @@ def _vowel_vector() -> str:
     return f"CASE WHEN {_VOWEL_NORM} = 0 THEN [0.0, 0, 0, 0, 0]::DOUBLE[] ELSE [{parts}] END"
 
 
-_STORED = f"""{_UNITS}, keyed AS (SELECT *, {_CHUNK_ID} AS key FROM chunks),{_bm25('keyed', 'key')},
-{_query_weights('benchmark', 'item_id')},
+def _stored(queries: str, qid: str, before: str = "") -> str:
+    """CTEs of the search for ``queries`` in the collection."""
+    return f"""{_UNITS}, keyed AS (SELECT *, {_CHUNK_ID} AS key FROM chunks),{_bm25('keyed', 'key')},{before}
+{_query_weights(queries, qid)},
 sp_all AS (SELECT qid, id, round(sum(qw.w * w.w), 6) AS score FROM qw JOIN w USING (term) GROUP BY ALL),
 de_all AS (SELECT qid, id, round(CASE WHEN list_sum(a) = 0 OR list_sum(b) = 0 THEN 0 ELSE {_COSINE} END, 6) AS score FROM
-  (SELECT item_id AS qid, {_vowel_vector()} AS a FROM benchmark), (SELECT key AS id, {_vowel_vector()} AS b FROM keyed))"""
+  (SELECT {qid} AS qid, {_vowel_vector()} AS a FROM {queries}), (SELECT key AS id, {_vowel_vector()} AS b FROM keyed))"""
+
+
+_STORED = _stored("benchmark", "item_id")
 
 
 def _fused(limit: int) -> str:
@@ -421,11 +437,15 @@ ORACLES: dict[str, str] = {
     "format_context": f"WITH {_FOUND} SELECT query_id, context FROM ctx",
     "rag_prompt": f"""WITH {_FOUND} SELECT query_id, {_prompt('context', 'text')} AS prompt
         FROM ctx JOIN benchmark ON item_id = query_id""",
-    "conversation_messages": f"""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY conv_id)
+    "conversation_messages": f"""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'user' GROUP BY conv_id),
+        asked AS (SELECT conv_id, text FROM conversations JOIN l USING (conv_id) WHERE turn = last AND role = 'user'),
+        {_stored('asked', 'conv_id')}, {_fused(7)},
+        cited AS (SELECT qid, rank, {_CITATION} || text AS block FROM hy JOIN keyed ON id = key),
+        ctx AS (SELECT conv_id, any_value(text) AS text, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY rank), '') AS context
+          FROM asked LEFT JOIN (SELECT qid, rank, block FROM cited) ON qid = conv_id GROUP BY conv_id)
         SELECT conv_id, 0::BIGINT AS part, 0::BIGINT AS turn, 'system' AS role, '{_SYSTEM}' AS content FROM l
         UNION ALL SELECT conv_id, 1, turn, role, text FROM conversations JOIN l USING (conv_id) WHERE turn < last
-        UNION ALL SELECT conv_id, 2, 0, 'user', {_prompt("''", 'text')} FROM conversations JOIN l USING (conv_id)
-          WHERE turn = last AND role = 'user'""",
+        UNION ALL SELECT conv_id, 2, 0, 'user', {_prompt('context', 'text')} FROM ctx""",
     "tool_calls": f"""WITH {_CALLS} SELECT resp_id, call_id::BIGINT AS call_id, name, known, callable, document,
         article, clause, point FROM calls""",
     "tool_call_status": f"""WITH {_RESOLVED}, cnt AS (SELECT req_id, count(*) AS n FROM found GROUP BY req_id)
@@ -450,11 +470,23 @@ ORACLES: dict[str, str] = {
             WHEN known THEN ',"status":"error","error":"bad arguments"'
             ELSE ',"status":"error","error":"Hàm không tồn tại"' END || '}}', ',' ORDER BY call_id) AS calls
           FROM calls JOIN supplier ON resp_id = s_suppkey LEFT JOIN cnt ON req_id = resp_id * 10 + call_id
-          GROUP BY resp_id)
-        SELECT s_suppkey AS resp_id, '{{"docs":[{{"id":"' || s_suppkey || '","total_score":0.5,"sparse_score":0.5,'
-          || '"dense_score":0.5,"text":"' || s_name || '","metadata":{{"article":' || s_suppkey || '}}}}],"answer":"'
+          GROUP BY resp_id),
+        {_STORED}, {_fused(7)},
+        passage AS (SELECT qid, string_agg('{{"id":"' || id || '","total_score":' || total_score || ',"sparse_score":'
+            || coalesce(sparse_score::VARCHAR, 'null') || ',"dense_score":' || coalesce(dense_score::VARCHAR, 'null')
+            || ',"text":' || to_json(text) || ',"metadata":' || CASE WHEN kind = 'legal_basis'
+            THEN '{{"article_total":' || n_articles || ',"chapter_total":' || n_chapters || ',"doc_id":' || keyed.doc_id
+              || ',"document_title":' || to_json(keyed.document_title) || ',"references":[],"type":"legal_basis"}}'
+            ELSE '{{"article_category":' || to_json(article_category) || ',"article_number":' || article_number
+              || ',"article_title":' || to_json(article_title) || ',"chapter_number":' || chapter_number
+              || ',"chapter_title":' || to_json(chapter_title) || ',"clause_number":' || clause_number || ',"doc_id":'
+              || keyed.doc_id || ',"document_title":' || to_json(keyed.document_title) || ',"is_point":' || is_point
+              || ',"point":' || to_json(point) || ',"references":[]}}' END || '}}', ',' ORDER BY rank) AS docs
+          FROM hy JOIN keyed ON id = key JOIN tot ON tot.doc_id = keyed.doc_id GROUP BY qid)
+        SELECT s_suppkey AS resp_id, '{{"docs":[' || coalesce(docs, '') || '],"answer":"'
           || s_name || '","thinking":[],"tool_calls":[' || coalesce(calls, '') || ']}}' AS record
-        FROM supplier LEFT JOIN js ON resp_id = s_suppkey""",
+        FROM supplier LEFT JOIN js ON resp_id = s_suppkey
+        LEFT JOIN passage ON qid = s_suppkey % (SELECT count(*) FROM benchmark)""",
     "points_build": f"""WITH {_bm25('documents', 'doc_id')},
         ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM idf),
         v AS (SELECT id, count(*) AS n, min(term_id) AS lo, max(term_id) AS hi, sum(w) AS s
@@ -499,4 +531,15 @@ ORACLES: dict[str, str] = {
           FROM hy JOIN keyed k ON hy.id = key JOIN benchmark b ON item_id = hy.qid)
         SELECT qid AS item_id, rank, id, round(score, 6) AS total_score
         FROM ({_top('pair', 5, 'score DESC, place')})""",
+    "preamble_split": f"""WITH {_UNITS}, n AS (SELECT doc_id, count(*)::BIGINT AS n FROM units GROUP BY doc_id),
+        head AS (SELECT doc_id, 'NGHỊ ĐỊNH ' || source || chr(10) || 'Căn cứ ' || lang || chr(10) AS preamble, coalesce(n, 0) AS n,
+            'NGHỊ ĐỊNH ' || source AS first FROM documents LEFT JOIN n USING (doc_id))
+        SELECT doc_id, preamble, CASE WHEN n = 0 THEN 2 ELSE n + 2 * ((n + 35) // 36) + (n + 17) // 18 END AS body_lines,
+          CASE WHEN n = 0 THEN first ELSE 'Chương I' END AS body_head FROM head""",
+    "chunk_hard": f"WITH {_HARD} SELECT {_POS_BIG}, text, {_LINEAGE} FROM chunks WHERE kind <> 'legal_basis'",
+    "chunk_defaults": f"""WITH {_UNITS} SELECT {_POS_BIG},
+        CASE WHEN doc_id % 2 = 1 THEN document_title ELSE 'Untitled Document' END AS document_title,
+        CASE WHEN chapter_pos % 2 = 1 THEN 'No Title' ELSE chapter_title END AS chapter_title, article_title, text
+        FROM chunks WHERE kind <> 'legal_basis'""",
+    "collection_recreated": f"WITH {_UNITS} SELECT {_POS_BIG}, text FROM chunks WHERE doc_id % 2 = 1",
 }

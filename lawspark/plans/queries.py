@@ -307,7 +307,7 @@ def parse_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preamble_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Split of the texts as they are: no mark, so both parts are the whole text."""
+    """Split of the texts as they are: no mark, so both parts are the whole text; ``preamble_split`` has the mark."""
     cut = parse.split_preamble(documents(spark, sf))
     return cut.select(
         "doc_id",
@@ -317,6 +317,37 @@ def preamble_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def preamble_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Split of the statutes, which hold the mark unless they have no units."""
+    cut = parse.split_preamble(statute_texts(spark, sf))
+    return cut.select(
+        "doc_id", "preamble", F.size(lines(F.col("body"))).cast("bigint").alias("body_lines"),
+        F.get(lines(F.col("body")), F.lit(0)).alias("body_head"),
+    )
+
+
+def chunk_hard(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of statutes with headings inside points and clauses without a number."""
+    c = chunk_documents(parse.parse_documents(statutes_of(documents_with_origin(spark, sf), hard=True)))
+    return c.where(F.col("chunk_kind") != "legal_basis").select("doc_id", *_pos_columns(), "text", *_LINEAGE)
+
+
+def chunk_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of stored statutes some of whose keys are missing: titles of even documents and of odd chapters."""
+    def untitled(c: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, c.withField("chapter_title", F.lit(None).cast("string"))).otherwise(c)
+
+    tree = _tree(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 1, F.col("document_title")).alias("document_title"), "legal_basis",
+        F.transform("chapters", untitled).alias("chapters"),
+    )
+    path = scratch_dir(spark, "json")
+    corpus.write_documents(tree, path)
+    good, _ = corpus.read_document_lines(spark, path)
+    c = chunk_documents(good).where(F.col("chunk_kind") != "legal_basis")
+    return c.select(*_long("doc_id"), *_pos_columns(), "document_title", "chapter_title", "article_title", "text")
+
+
 def _of_kind(kind: str, *columns: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         c = _statute_chunks(spark, sf).where(F.col("chunk_kind") == kind)
@@ -429,6 +460,21 @@ def collection_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *_pos_columns(), "text")
 
 
+def collection_recreated(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection dropped and created anew holds only what came after."""
+    name = _statute_collection(spark, "bigint")
+    points = build_points(_statute_chunks(spark, sf), _letters(), None)
+    collection.upsert(points.where(F.col("doc_id") % 2 == 0), name)
+    collection.drop_collection(spark, name)
+    columns = collection.POINT_COLUMNS.replace("doc_id string", "doc_id bigint")
+    for _ in range(2):  # the second is a no-op
+        collection.ensure_collection(
+            spark, name, dim=len(LETTERS), location=scratch_dir(spark, "statutes"), columns=columns
+        )
+    collection.upsert(points.where(F.col("doc_id") % 2 == 1), name)
+    return collection.current(spark, name).select("doc_id", *_pos_columns(), "text")
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Statutes taken in by a stream, in two waves of files: the collection holds all their passages."""
     name = _statute_collection(spark, "string")
@@ -605,12 +651,15 @@ def rag_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """The last user turn is the question; what stands before it is the history."""
+    """The last user turn is the question, passages found for it the context; what stands before it is the history."""
     conv = table(spark, sf, "conversations")
     last = conv.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("last"))
     asked = conv.join(last, "conv_id")
-    prompts = asked.where("turn = last and role = 'user'").select(
-        "conv_id", context.rag_prompt(F.lit(""), F.col("text")).alias("content")
+    questions = asked.where("turn = last and role = 'user'").select(F.col("conv_id").alias("query_id"), "text")
+    found = retrieve.retrieve(_stored_statutes(spark, sf), questions, _open_letter_model)
+    cited = context.format_context(questions, retrieve.with_citation(found)).join(questions, "query_id")
+    prompts = cited.select(
+        F.col("query_id").alias("conv_id"), context.rag_prompt(F.col("context"), F.col("text")).alias("content")
     )
     history = asked.where("turn < last").withColumnRenamed("text", "content")
     m = context.messages(last.select("conv_id"), prompts, history)
@@ -645,16 +694,18 @@ def tool_call_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_records(spark: SparkSession, sf: str) -> DataFrame:
-    """One record per supplier's response, its name standing for the answer."""
-    answers = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("resp_id"), F.col("s_name").alias("answer")
-    )
-    docs = answers.select(
-        "resp_id", F.lit(1).cast("bigint").alias("rank"), F.col("resp_id").cast("string").alias("id"),
-        *[F.lit(0.5).alias(f"{n}_score") for n in ("total", "sparse", "dense")],
-        F.col("answer").alias("text"), F.to_json(F.struct(F.col("resp_id").alias("article"))).alias("metadata"),
+    """One record per supplier's response: passages found for its question, its name standing for the answer.
+
+    The question is a benchmark text, by the supplier's number.
+    """
+    questions = _questions(spark, sf)
+    n = questions.select(F.count("*")).scalar()
+    asked = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("resp_id"), F.col("s_name").alias("answer"), (F.col("s_suppkey") % n).alias("query_id")
     )
-    return toolcalls.answer_records(answers, docs, toolcalls.call_log(*_resolved(spark, sf)))
+    found = written(retrieve.retrieve(_stored_statutes(spark, sf), questions, _open_letter_model), "found")
+    docs = asked.select("resp_id", "query_id").join(found, "query_id").drop("query_id")
+    return toolcalls.answer_records(asked.select("resp_id", "answer"), docs, toolcalls.call_log(*_resolved(spark, sf)))
 
 
 # --- points -----------------------------------------------------------------
@@ -767,4 +818,8 @@ QUERIES: dict[str, Query] = {
     "retrieve_hybrid": retrieve_hybrid,
     "retrieve_dense": retrieve_dense,
     "retrieve_reranked": retrieve_reranked,
+    "preamble_split": preamble_split,
+    "chunk_hard": chunk_hard,
+    "chunk_defaults": chunk_defaults,
+    "collection_recreated": collection_recreated,
 }
