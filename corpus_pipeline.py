@@ -35,8 +35,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id, then text hash; null ids last."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = minhash.near_duplicates(docs.withColumn("__text", text), carry=("__text",))
-    group = [F.col("component"), F.col("doc_id").alias("__id"), F.col("__text").alias("__hash")]
+    own_hash = "__text"
+    while own_hash in docs.columns:  # a column of that name is the caller's
+        own_hash += "_"
+    found = minhash.near_duplicates(docs.withColumn(own_hash, text), carry=(own_hash,))
+    group = [F.col("component"), F.col("doc_id").alias("__id"), F.col(own_hash).alias("__hash")]
     fate = written(found.groupBy(*group).agg(F.count("*").alias("n")), "groups")
     order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
     first = fate.groupBy("component").agg(F.min(order).alias("first"))
@@ -44,12 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is_first = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__hash") == F.col("first_hash"))
     fate = fate.groupBy("__id", "__hash").agg(F.sum("n").alias("n")).join(first, is_first, "left")
     fate = written(fate.select("__id", "__hash", F.col("first_hash").isNotNull().alias("kept"), "n"), "fates")
-    own = docs.withColumn("__text", text)
-    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    own = docs.withColumn(own_hash, text)
+    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(own_hash) == F.col("__hash"))
     rest = own.join(fate.where("not kept"), here, "left_anti")
     again = fate.where("kept and n > 1")
     if not again.isEmpty():  # the same row several times: one of them stays
-        once = rest.join(again, here, "left_semi").dropDuplicates(["doc_id", "__text"])
+        once = rest.join(again, here, "left_semi").dropDuplicates(["doc_id", own_hash])
         rest = rest.join(again, here, "left_anti").unionByName(once)
     return rest.select(*docs.columns)
 
