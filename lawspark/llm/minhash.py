@@ -6,11 +6,13 @@ that a fixed sequence of random probes finds (optimal densification). Bins are
 banded into buckets. Texts with equal shingle sets are one *node*, so exact
 copies cost one narrow row each.
 
+A text most of whose shingles no other candidate has cannot be linked and
+leaves its buckets; such are the many that share one passage and little else.
 Within a bucket the candidate links form stars: every member is linked with
 the smallest one, then members of buckets that still hold several components
 with the next ``CENTRES`` smallest. Texts that share too few shingles with all
 others of the open buckets are left out of this, as are pairs whose common
-parts are too small; both bounds are exact. A link counts only after the full
+parts are too small; all these bounds are exact. A link counts only after the full
 sets confirm it. Buckets with still more components are crowds of texts that share
 a passage; the members of all crowds are hashed again with a fresh permutation
 into more and stricter bands and compared with more centres, level by level,
@@ -119,8 +121,8 @@ def _sign(k: int, carry: tuple[str, ...]):
             if some.any():
                 rows[some] = bands(signatures([s for s in sets if len(s)]))
             yield pa.record_batch(
-                [*(b.column(c) for c in carry), b.column("doc_id"), pa.array(key, pa.binary()), pa.array(size), _list_array(rows)],
-                names=[*carry, "doc_id", "key", "n_shingles", "bands"],
+                [*(b.column(c) for c in carry), b.column("doc_id"), b.column("h"), b.column("g"), pa.array(key, pa.binary()), pa.array(size), _list_array(rows)],
+                names=[*carry, "doc_id", "h", "g", "key", "n_shingles", "bands"],
             )
 
     return run
@@ -198,23 +200,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple
     ``kept`` compares null-safely. Repeated rows share component and ``kept``.
     """
     spark = docs.sparkSession
-    docs = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    added = StructType.fromDDL("doc_id long, key binary, n_shingles long, bands array<long>")
+    plain = F.coalesce("text", F.lit(""))
+    docs = docs.select(
+        *carry, F.col("doc_id").cast("long").alias("doc_id"), "text",
+        F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(1), plain).alias("g"),
+    )
+    added = StructType.fromDDL("doc_id long, h long, g long, key binary, n_shingles long, bands array<long>")
     schema = StructType([*(docs.schema[c] for c in carry), *added.fields])
     signed = docs.mapInArrow(_sign(k, carry), schema)
     sig = written(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    sample = F.min(F.struct("row", "doc_id", "h", "g")).alias("s")
     nodes = written(
         sig.where("key is not null").groupBy("key")
-        .agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")),
+        .agg(sample, F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+        .select("key", F.col("s.row").alias("node"), "doc_id", "s.h", "s.g", F.col("s.doc_id").alias("id"), "bands"),
         "nodes",
     )
     members = written(
         _shared(nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))), "buckets"
     )
     alike = members.select("node").distinct()
-    asked = nodes.join(alike, "node", "left_semi").select("node", "key", F.col("doc_id").alias("id"))
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "key", "text")
+    # The sample row of a node, by id and text: neither null ids nor an id with many texts make more of it.
+    asked = nodes.join(alike, "node", "left_semi").select("node", "key", "id", F.col("h").alias("__h"), F.col("g").alias("__g"))
+    here = (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    texts = docs.select("doc_id", "text", "h", "g").join(asked, here).select("node", "key", "text")
     sets = written(texts.mapInArrow(_sets(k), "node long, items array<long>, parts array<int>").dropDuplicates(["node"]), "sets")
+    able = written(_common(sets, percent).select("node"), "able")
+    members = written(_shared(members.select("node", "bucket").join(able, "node", "left_semi")), "members")
 
     star = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     links = written(_verified(star.distinct(), sets, percent), "links")
@@ -260,7 +272,11 @@ def _linkable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A shingle that only one of these sets has is in no intersection, so a set
     with too many of its own can have no link among them.
     """
-    own = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    return open_.join(_common(sets.join(open_.select("node").distinct(), "node", "left_semi"), percent), "node")
+
+
+def _common(own: DataFrame, percent: int) -> DataFrame:
+    """``node, parts, n, common`` of the sets that have enough shingles in common with others of them."""
     alone = (
         own.select("node", F.explode("items").alias("item")).groupBy("item")
         .agg(F.min("node").alias("node"), F.count("*").alias("df")).where("df = 1")
@@ -269,7 +285,7 @@ def _linkable(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = F.size("items").cast("long")
     size = own.select("node", "parts", n.alias("n")).join(alone, "node", "left")
     size = size.select("node", "parts", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    return open_.join(size.where(100 * F.col("common") >= percent * F.col("n")), "node")
+    return size.where(100 * F.col("common") >= percent * F.col("n"))
 
 
 def _unresolved(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -292,7 +308,7 @@ def _result(sig: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     grouped = sig.drop("bands").join(owner, "key", "left")
     own = F.col("key").isNull()
     out = grouped.select(
-        *[c for c in sig.columns if c not in ("key", "bands", "row")],
+        *[c for c in sig.columns if c not in ("key", "bands", "row", "h", "g")],
         F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(own, F.col("row")).otherwise(F.col("component")).alias("component"),
     )
