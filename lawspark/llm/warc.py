@@ -131,8 +131,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([h["WARC-Type"] for h in heads]),
                 pa.array([number(h.get("X-Refers-To-Page")) for h in heads], pa.int64()),
                 pa.array([h["WARC-Payload-Digest"].removeprefix("sha1:") for h in heads]),
+                pa.array([number(h["Content-Length"]) for h in heads], pa.int64()),
             ],
-            names=["page_id", "digest", "record_type", "refers_to", "stated_digest"],
+            names=["page_id", "digest", "record_type", "refers_to", "stated_digest", "stated_length"],
         )
 
 
@@ -140,15 +141,21 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, stated_digest`` as read back.
 
     Length and digest are those of the stored payload, computed anew and
-    verified; type and reference stand in the stored header.
+    verified; type and reference stand in the stored header. A header whose
+    stated digest or length is not that of its payload is an error.
     """
     payloads = spark.read.parquet(f"{path}/payloads").mapInArrow(
         _verify, "digest string, payload_bytes long, payload_digest string"
     )
     heads = spark.read.parquet(f"{path}/heads").select("digest", "head").mapInArrow(
-        _parsed, "page_id long, digest string, record_type string, refers_to long, stated_digest string"
+        _parsed, "page_id long, digest string, record_type string, refers_to long, stated_digest string, stated_length long"
     )
-    return heads.join(payloads, "digest").drop("digest")
+    # The digest that a header states must be that of the payload, and its length that of the record's block.
+    size = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    fits = (F.col("stated_digest") == F.col("payload_digest")) & (F.col("stated_length") == size)
+    lost = F.raise_error(F.concat(F.lit("header and payload differ: "), "digest")).cast("string")
+    rows = heads.join(payloads, "digest").withColumn("record_type", F.when(fits, F.col("record_type")).otherwise(lost))
+    return rows.drop("digest", "stated_length")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -156,5 +163,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     heads = spark.read.parquet(f"{path}/heads")
     payloads = spark.read.parquet(f"{path}/payloads")
     end = F.lit(b"\r\n\r\n")
-    full = F.when(F.instr(F.col("head").cast("string"), "WARC-Type: response") > 0, F.col("payload")).otherwise(F.lit(b""))
+    # By the type's own line, which comes second: a url may hold any text.
+    response = F.col("head").cast("string").startswith("WARC/1.1\r\nWARC-Type: response\r\n")
+    full = F.when(response, F.col("payload")).otherwise(F.lit(b""))
     return heads.join(payloads, "digest").select("page_id", F.concat("head", full, end).alias("record"))
