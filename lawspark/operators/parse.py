@@ -69,11 +69,16 @@ def document_title(preamble_lines: Column) -> Column:
     return F.array_join(F.filter(preamble_lines, is_title), " ")
 
 
-def _tag(line: Column) -> Column:
+def line_class(line: Column) -> Column:
+    """The letter of a line, by itself."""
     cls = F.lit(_TEXT)
     for letter, pattern in reversed(_CLASSES):
         cls = F.when(line.rlike("^" + pattern), F.lit(letter)).otherwise(cls)
-    return F.concat(F.lit("\n"), cls, line)
+    return cls
+
+
+def _tag(line: Column) -> Column:
+    return F.concat(F.lit("\n"), line_class(line), line)
 
 
 def tagged_body(body: Column) -> Column:

@@ -531,6 +531,10 @@ ORACLES: dict[str, str] = {
           FROM hy JOIN keyed k ON hy.id = key JOIN benchmark b ON item_id = hy.qid)
         SELECT qid AS item_id, rank, id, round(score, 6) AS total_score
         FROM ({_top('pair', 5, 'score DESC, place')})""",
+    "parse_blocks_points": f"""WITH {_UNITS} SELECT doc_id, article_number, clause_number::BIGINT AS clause_number,
+        point_pos::BIGINT AS point_pos, point, content FROM pt""",
+    "parse_blocks_clauses": f"""WITH {_HARD} SELECT doc_id, article_number, clause_pos::BIGINT AS clause_pos,
+        clause_number::BIGINT AS clause_number, content FROM cl""",
     "preamble_split": f"""WITH {_UNITS}, n AS (SELECT doc_id, count(*)::BIGINT AS n FROM units GROUP BY doc_id),
         head AS (SELECT doc_id, 'NGHỊ ĐỊNH ' || source || chr(10) || 'Căn cứ ' || lang || chr(10) AS preamble, coalesce(n, 0) AS n,
             'NGHỊ ĐỊNH ' || source AS first FROM documents LEFT JOIN n USING (doc_id))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lawspark.functions.text import lines, word_count
 from lawspark.operators import (
-    citation, citation_index, context, dense, lexical, parse, postings, profile, retrieve, search, toolcalls, vector_index,
+    citation, citation_index, context, dense, lexical, parse, parse_blocks, postings, profile, retrieve, search, toolcalls, vector_index,
 )
 from lawspark.operators.chunk import chunk_documents
 from lawspark.operators.points import build_points
@@ -306,6 +306,19 @@ def parse_points(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def parse_blocks_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the statutes cut into blocks of 50 lines, each parsed apart."""
+    parts = parse_blocks.parse_blocks(parse_blocks.cut(statute_texts(spark, sf)))
+    return parts.points.select("doc_id", "article_number", "clause_number", *_long("point_pos"), "point", "content")
+
+
+def parse_blocks_clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses of the harder statutes, in blocks of 20 lines."""
+    texts = statutes_of(documents_with_origin(spark, sf), hard=True)
+    parts = parse_blocks.parse_blocks(parse_blocks.cut(texts, 20))
+    return parts.clauses.select("doc_id", "article_number", *_long("clause_pos"), "clause_number", "content")
+
+
 def preamble_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Split of the texts as they are: no mark, so both parts are the whole text; ``preamble_split`` has the mark."""
     cut = parse.split_preamble(documents(spark, sf))
@@ -818,6 +831,8 @@ QUERIES: dict[str, Query] = {
     "retrieve_hybrid": retrieve_hybrid,
     "retrieve_dense": retrieve_dense,
     "retrieve_reranked": retrieve_reranked,
+    "parse_blocks_points": parse_blocks_points,
+    "parse_blocks_clauses": parse_blocks_clauses,
     "preamble_split": preamble_split,
     "chunk_hard": chunk_hard,
     "chunk_defaults": chunk_defaults,
