@@ -34,7 +34,8 @@ from lawspark.session import scratch_dir
 LENGTH = 4096
 END = 2
 GROUP = 4096
-CACHE = 100_000  # words kept per Python worker
+CACHE = 500_000  # words kept per Python worker
+RUN = 3 << 20  # bytes of text tokenised at once: words that recur in a run are looked up once
 CALL = 4096  # words tokenised in one call
 
 # 0 white space, 1 letter, 2 digit, 3 other sign, 4 non-ASCII
@@ -165,7 +166,7 @@ def _pieces(path: str, length: int, end: int, seed: int):
         tokenizer = _tokenizer(path)
         for b in batches:
             data, offsets = T.utf8(b.column("text"))
-            for i, j in T.slices(offsets):
+            for i, j in T.slices(offsets, RUN):
                 ids, to = tokenizer.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
                 whole = np.diff(to)
                 n = -(-whole // length)
