@@ -138,7 +138,70 @@ def _sql_terms(text: str) -> str:
     return rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
+def _sql_words(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _sql_base32(hex_text: str) -> str:
+    """Base32 of a digest given in hex: five hex digits are four of base32."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    part = f"('0x' || substr({hex_text}, 5 * i + 1, 5))::INTEGER"
+    digits = " || ".join(f"substr({letters}, (({part} >> {n}) & 31) + 1, 1)" for n in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(0, 8), lambda i: {digits}), '')"
+
+
+def _sql_runs(text: str) -> str:
+    return rf"regexp_extract_all(translate({text}, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+
+
 ORACLES: dict[str, str] = {
+    "op2_minhash": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce({_sql_runs("text")}, []) AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[f : f + least(len(w), 4) - 1], ' ') AS g
+            FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS f FROM d WHERE len(w) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (
+            SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+            WHERE 100 * m >= 80 * (p.n + q.n - m)
+        ),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+        least_id AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d JOIN least_id ON x = doc_id LEFT JOIN n USING (doc_id)
+    """,
+    "op4_decontam": f"""
+        WITH d AS (SELECT doc_id, coalesce({_sql_words("text")}, []) AS w FROM documents),
+        b AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
+        i AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[fst : fst + least(len(w), 13) - 1], ' ') AS gram
+            FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS fst FROM b WHERE len(w) > 0)
+        ),
+        g AS (
+            SELECT doc_id, l, fst, array_to_string(w[fst : fst + l - 1], ' ') AS gram
+            FROM (SELECT d.*, l, unnest(range(1, len(w) - l + 2)) AS fst FROM d, (SELECT DISTINCT l FROM i) WHERE len(w) >= l)
+        ),
+        h AS (SELECT doc_id, item_id, fst, g.l FROM g JOIN i ON g.l = i.l AND g.gram = i.gram),
+        n AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(fst, fst + l)) AS p FROM h) GROUP BY doc_id),
+        t AS (
+            SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages),
+        h AS (SELECT *, sha1(t) AS x FROM p)
+        SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, {_sql_base32("x")} AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM h
+    """,
     "op11_vectors": """
         WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
         links AS (
