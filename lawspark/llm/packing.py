@@ -34,7 +34,7 @@ from lawspark.session import scratch_dir
 LENGTH = 4096
 END = 2
 GROUP = 4096
-CACHE = 500_000  # words kept per Python worker
+CACHE = 150_000  # words kept per Python worker
 RUN = 3 << 20  # bytes of text tokenised at once: words that recur in a run are looked up once
 CALL = 4096  # words tokenised in one call
 
