@@ -34,7 +34,7 @@ from lawspark.session import scratch_dir
 LENGTH = 4096
 END = 2
 GROUP = 4096
-CACHE = 150_000  # words kept per Python worker
+CACHE = 100_000  # words kept per Python worker
 RUN = 3 << 20  # bytes of text tokenised at once: words that recur in a run are looked up once
 CALL = 4096  # words tokenised in one call
 
@@ -157,7 +157,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _pieces(path: str, length: int, end: int, seed: int):
+def _pieces(path: str, length: int, end: int, seed: int, run_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -166,7 +166,7 @@ def _pieces(path: str, length: int, end: int, seed: int):
         tokenizer = _tokenizer(path)
         for b in batches:
             data, offsets = T.utf8(b.column("text"))
-            for i, j in T.slices(offsets, RUN):
+            for i, j in T.slices(offsets, run_bytes):
                 ids, to = tokenizer.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
                 whole = np.diff(to)
                 n = -(-whole // length)
@@ -190,17 +190,20 @@ def _pieces(path: str, length: int, end: int, seed: int):
     return run
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, seed: int = 1) -> DataFrame:
+def tokenise(
+    docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, seed: int = 1, run_bytes: int = RUN
+) -> DataFrame:
     """``doc_id, start, length, doc_tokens, deal, ids, piece`` of ``docs(doc_id, text)``, as a written table.
 
     A null or empty text is its end id alone; repeated rows are packed each;
-    ids may be null. ``deal`` is the random number that groups the piece,
+    ids may be null. ``run_bytes`` of text are tokenised at once: more take less
+    time and more memory, which a worker keeps. ``deal`` is the random number that groups the piece,
     drawn once, as the rows are written.
     """
     spark = docs.sparkSession
     schema = "doc_id long, start long, length long, doc_tokens long, deal long, ids binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pieces(tokenizer_path, length, end, seed), schema
+        _pieces(tokenizer_path, length, end, seed, run_bytes), schema
     )
     path = scratch_dir(spark, "pieces")
     rows.withColumn("piece", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
