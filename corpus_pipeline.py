@@ -73,7 +73,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their places in sequences."""
-    pieces = packing.tokenise(docs, tokenizer_path())
+    # Shorter runs than packing alone: workers of the stages before and after keep their memory.
+    pieces = packing.tokenise(docs, tokenizer_path(), run_bytes=1 << 20)
     narrow = pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "piece", "deal"
     )
