@@ -62,3 +62,27 @@ def test_empty(spark, tables, tmp_path):
     assert _rows(postings.search(stored, queries.where("false"))) == []
     none = postings.build(items.where("false"), str(tmp_path / "b"))
     assert _rows(postings.search(none, queries)) == []
+
+
+def test_pairs_of_query_and_id_are_no_rows(spark, tmp_path, monkeypatch):
+    """Sixty queries that all ask a term of every text: what is written in between grows with the texts alone."""
+    n, sizes = 500, {}
+    items = spark.createDataFrame([(i, ["all", f"own{i}"], [1.0 + i / n, 1.0]) for i in range(n)], SCHEMA)
+    queries = spark.createDataFrame([(q, ["all", f"own{q}"], [1.0, 0.5]) for q in range(60)], SCHEMA)
+    stored = postings.build(items, str(tmp_path / "postings"), block=64, levels=8)
+
+    def written(df, name):
+        out = df.localCheckpoint()
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(postings, "written", written)
+    found = _rows(postings.search(stored, queries, 3))
+    assert len(found) == 180 and found[0][:3] == (0, 1, n - 1)
+    assert max(sizes["first"], sizes["able"]) <= n
+
+
+def test_vectors_of_one_id_add_up(spark, tmp_path):
+    items = spark.createDataFrame([(1, ["a"], [1.0]), (1, ["a", "b"], [2.0, 4.0]), (2, ["a"], [2.5]), (None, ["a"], [9.0])], SCHEMA)
+    stored = postings.build(items, str(tmp_path / "postings"))
+    assert _rows(postings.search(stored, spark.createDataFrame([(7, ["a"], [1.0])], SCHEMA), 2)) == [(7, 1, 1, 3.0), (7, 2, 2, 2.5)]
