@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lawspark.operators.dense import DENSE_THRESHOLD, TOP_K, nearest
 from lawspark.operators.lexical import weights
 from lawspark.operators.topk import top_k
+from lawspark.session import written
 
 # Settings of the retrieval step.
 RRF_K = 60
@@ -103,19 +104,21 @@ def postings_search(
 ) -> DataFrame:
     """``(query_id, id, score, rank)`` over stored postings; scores of shared terms only.
 
-    Only the asked terms' lists take part. Sums are combined before they are
-    shuffled, a frequent term's list is split by Spark, and the ranking is
-    limited before the shuffle too.
+    Only the asked terms' lists take part. What they say of an id is brought
+    together once, however many queries ask, and scored block by block: a pair
+    of query and id is never a row, and k rows of a query leave a task.
     """
-    asked = weights(queries, model, query_id, **options).select(
+    asked = written(weights(queries, model, query_id, **options).select(
         "term", F.col(query_id).alias("query_id"), F.col("weight").alias("q_weight")
-    )
-    scored = (
-        stored.join(asked, "term").groupBy("query_id", "id")
-        .agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), digits).alias("score")).where("score > 0")
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    ), "asked")
+    own = _gathered(stored.join(asked.select("term").distinct(), "term", "left_semi"), "id", "weight")
+    return sparse_search(own, _gathered(asked, "query_id", "q_weight"), k, digits).where("score > 0")
+
+
+def _gathered(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """``key, indices, values`` of ``(key, term, weight)`` rows."""
+    pairs = F.collect_list(F.struct("term", F.col(weight).alias("weight"))).alias("p")
+    return rows.groupBy(key).agg(pairs).select(key, F.col("p.term").alias("indices"), F.col("p.weight").alias("values"))
 
 
 def rrf(

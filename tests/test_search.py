@@ -190,3 +190,21 @@ def test_stored_postings_search_as_texts_do(spark):
     want = search.sparse_search(*lexical.search_vectors(docs, queries, model, "id", "q"), k=5)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.select("query_id", "id", "rank").collect()))
     spark.sql("DROP TABLE postings_test")
+
+
+def test_stored_search_brings_a_text_together_once(spark, monkeypatch):
+    """All texts share a word with all queries: lists of texts are scored, not rows of pairs."""
+    docs = spark.createDataFrame([(i, f"chung rieng{i}") for i in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(q, f"chung rieng{q}") for q in range(30)], "qid long, text string")
+    model = lexical.fit(docs)
+    stored = lexical.weights(docs, model, "id").select("term", "id", "weight")
+    plain, scored = search.sparse_search, []
+
+    def counted(items, *args, **kwargs):
+        scored.append(items.count())
+        return plain(items, *args, **kwargs)
+
+    monkeypatch.setattr(search, "sparse_search", counted)
+    found = search.postings_search(stored, queries, model, "qid", k=1)
+    assert [(r.query_id, r.id) for r in found.orderBy("query_id").collect()] == [(q, q) for q in range(30)]
+    assert scored == [40]
