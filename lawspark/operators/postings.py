@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lawspark.operators.dense import TOP_K
@@ -42,6 +42,16 @@ class Postings:
     vectors: DataFrame  # id, indices, values
 
 
+def _added_up(pairs: Column) -> Column:
+    """``(term, weight)`` pairs with each term once: what bounds a posting must bound all an id has of its term."""
+    terms = F.array_distinct(pairs["term"])
+    sums = F.transform(terms, lambda t: F.struct(
+        t.alias("term"),
+        F.aggregate(F.filter(pairs, lambda p: p["term"] == t), F.lit(0.0), lambda a, p: a + p["weight"]).alias("weight"),
+    ))
+    return F.when(F.size(terms) == F.size(pairs), pairs).otherwise(sums)
+
+
 def build(vectors: DataFrame, path: str, block: int = BLOCK, levels: int = LEVELS) -> Postings:
     """Write postings of ``vectors(id, indices, values)`` to the folder ``path``.
 
@@ -53,7 +63,8 @@ def build(vectors: DataFrame, path: str, block: int = BLOCK, levels: int = LEVEL
     pairs = F.arrays_zip(F.col(indices).alias("term"), F.col(values).cast("array<double>").alias("weight"))
     rows = vectors.where(F.col(iid).isNotNull()).select(F.col(iid).alias("id"), F.filter(pairs, lambda p: p["weight"] > 0).alias("p"))
     # Vectors that were grouped by id already lie where this needs them.
-    rows = rows.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p")).select(
+    rows = rows.groupBy("id").agg(F.flatten(F.collect_list("p")).alias("p")).select("id", _added_up(F.col("p")).alias("p"))
+    rows = rows.select(
         "id", F.col("p.term").alias("indices"), F.col("p.weight").alias("values")
     )
     rows.write.parquet(f"{path}/vectors")

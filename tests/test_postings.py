@@ -86,3 +86,12 @@ def test_vectors_of_one_id_add_up(spark, tmp_path):
     items = spark.createDataFrame([(1, ["a"], [1.0]), (1, ["a", "b"], [2.0, 4.0]), (2, ["a"], [2.5]), (None, ["a"], [9.0])], SCHEMA)
     stored = postings.build(items, str(tmp_path / "postings"))
     assert _rows(postings.search(stored, spark.createDataFrame([(7, ["a"], [1.0])], SCHEMA), 2)) == [(7, 1, 1, 3.0), (7, 2, 2, 2.5)]
+
+
+def test_repeated_terms_are_bounded_by_their_sum(spark, tmp_path, monkeypatch):
+    """An id that has a term three times outscores ids whose single postings are larger."""
+    monkeypatch.setattr(postings, "SEED_POSTINGS", 1)
+    items = [(i, ["a", "b"], [4.0, 4.0]) for i in range(64)] + [(900, ["a"] * 3, [3.0] * 3)]
+    stored = postings.build(spark.createDataFrame(items, SCHEMA), str(tmp_path / "postings"), block=8, levels=8)
+    queries = spark.createDataFrame([(7, ["a", "b"], [1.0, 1.0])], SCHEMA)
+    assert _rows(postings.search(stored, queries, 1)) == [(7, 1, 900, 9.0)]
