@@ -118,6 +118,54 @@ def test_plan_has_no_pair_join(tables):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("WindowGroupLimit") == 2
 
 
+def _exchanges(spark, found):
+    """Shuffles of a plan in which no table is small enough to be sent around."""
+    off = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(off)
+    spark.conf.set(off, "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return found()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(off, before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_listed_rows_move_once(spark, tables, monkeypatch):
+    """Keys and listed rows meet and are ranked by one shuffle each, before payload and requests are joined."""
+    requests, chunks = tables
+    monkeypatch.setattr(citation, "ARTICLES_SENT", 0)
+    assert _exchanges(spark, lambda: citation.lookup_inbound(requests, chunks)) == 6
+    assert _exchanges(spark, lambda: citation.lookup_direct(requests, chunks)) == 6
+
+
+def test_many_articles(tables, monkeypatch):
+    """Where too many articles are asked to be sent around, the answers are the same."""
+    monkeypatch.setattr(citation, "ARTICLES_SENT", 0)
+    _check(citation.lookup_direct(*tables), direct)
+
+
+def test_repeated_and_missing_ids(spark, tables):
+    """Each row of an id that comes twice answers for both; one without an id takes a rank and is not found."""
+    requests, _ = tables
+    row = lambda i, n: (i, 0, (0, 7, n, 0), 7, 1, "a", [], f"t{n}")
+    chunks = spark.createDataFrame([row("c", 1), row("c", 1), row(None, 2), row("d", 3)], SCHEMA)
+    asked = requests.limit(1).select(F.lit(1).alias("req_id"), F.lit(7).alias("article"), F.lit(None).cast("bigint").alias("clause"), F.lit("a").alias("point"))
+    got = sorted((r["rank"], r.text) for r in citation.lookup_direct(asked, chunks).collect())
+    assert got == [(1, "t1"), (1, "t1"), (2, "t1"), (2, "t1"), (4, "t3")]
+
+
+def test_index_lists_hold_no_ids(spark, tables):
+    _, chunks = tables
+    table = "citations_" + scratch_dir(spark, "c").rsplit("-", 1)[1]
+    index = citation_index.build(chunks, table, buckets=4)
+    for lists in (index.places, index.cited):
+        assert "chunk_id" not in lists.columns
+        assert lists.where(F.length(citation_index._REFERENCE) != 16).isEmpty()
+    assert index.columns == chunks.columns
+    citation_index.drop(spark, table)
+
+
 def test_scan(tables):
     _, chunks = tables
     got = citation.scan(chunks, F.col("article_number") == 2, 4).collect()
