@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple
     label = components(links)
     level, wide = 0, CENTRES
     while True:
+        # Written, as are the crowds below: each is read twice, and the join with the mixed buckets is made once.
         open_ = _unresolved(members, label).where("centre is null or node > centre").select("bucket", "node", "root")
-        open_ = written(_linkable(open_, sets, percent), "open")
+        open_ = written(_linkable(written(open_, "unresolved"), sets, percent), "open")
         w = Window.partitionBy("bucket").orderBy("node")
         centres = written(
             open_.withColumn("at", F.row_number().over(w)).where(F.col("at") <= wide)
@@ -255,7 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, carry: tuple
         label = components(links)
         full = centres.where(F.col("at") == wide).select("bucket", F.col("a").alias("used"))
         rest = open_.select("bucket", "node").join(full, "bucket")
-        crowd = _unresolved(rest, label).where("node > used").select("bucket", "node")
+        crowd = written(_unresolved(rest, label).where("node > used").select("bucket", "node"), "unresolved")
         crowd = written(_shared(crowd).select("node").distinct(), "crowds")
         if crowd.isEmpty():
             break

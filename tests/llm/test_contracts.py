@@ -142,6 +142,30 @@ def test_minhash_crowds(spark, monkeypatch):
     assert got == {d: c for (d, _), (_, c) in zip(rows, brute.near_duplicates(rows, 4), strict=True)}
 
 
+def test_minhash_joins_the_unresolved_once(spark, monkeypatch):
+    """Members of mixed buckets are read twice but found once, at the first level and in the crowds."""
+    monkeypatch.setattr(minhash, "CENTRES", 1)
+    seen, want, plain = spark.sparkContext.accumulator(0), [], minhash._unresolved
+
+    def counted(members, label):
+        out = plain(members, label)
+        want.append(out.count())
+
+        def each(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return out.mapInArrow(each, out.schema)
+
+    monkeypatch.setattr(minhash, "_unresolved", counted)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(n, " ".join(passage + [f"f{n // 2}w{i}" for i in range(12)] + [f"x{n}"])) for n in range(40)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: c for (d, _), (_, c) in zip(rows, brute.near_duplicates(rows, 4), strict=True)}
+    assert len(want) > 1 and sum(want) > 0 and seen.value == sum(want)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 1200, dtype=np.uint64) * np.uint64(2)
