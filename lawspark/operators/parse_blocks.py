@@ -6,7 +6,8 @@ numbers: whether a chapter line still waits for its title, how many chapters,
 articles, content lines, clauses and points there were, and some of these as
 they stood at the last chapter, article or clause. Each is counted inside the
 block, summed up per block, and carried over the blocks of a document by a
-window over one narrow row a block. So no task sees more than a block of lines,
+window over one narrow row a block: once for titles, once for headings, once
+for clauses and points. So no task sees more than a block of lines,
 and a document's blocks are parsed side by side. The results are those of
 ``parse.explode_articles``, ``explode_clauses`` and ``explode_points``.
 """
@@ -58,7 +59,7 @@ def cut(docs: DataFrame, size: int = 50, text_col: str = "text") -> DataFrame:
 def _body_lines(blocks: DataFrame) -> DataFrame:
     """``doc_id, block, i, line, class`` of the body: from the first mark on, or everything without one."""
     marked = blocks.select("doc_id", "block", F.coalesce("text", F.lit("")).alias("text"))
-    marked = marked.withColumn("at", F.instr("text", BODY_MARK))
+    marked = written(marked.withColumn("at", F.instr("text", BODY_MARK)), "blocks")  # read for the first mark, then for the lines
     first = marked.where("at > 0").groupBy("doc_id").agg(F.min("block").alias("first"))
     body = marked.join(first, "doc_id", "left").where("first is null or block >= first")
     text = F.when(F.col("block") == F.col("first"), F.substring("text", F.col("at"), F.length("text"))).otherwise(F.col("text"))
@@ -66,33 +67,34 @@ def _body_lines(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("class", line_class(F.col("line")))
 
 
-def _carried(rows: DataFrame, summary: list[Column], over_blocks: list[Column]) -> DataFrame:
-    """Rows with what the blocks before theirs add up to."""
-    per_block = rows.groupBy(*_BLOCK).agg(*summary)
-    return rows.join(per_block.select(*_BLOCK, *over_blocks), _BLOCK)
+def _followed(rows: DataFrame, flags: dict[str, Column], values: dict[str, tuple[Column, Column | str]]) -> DataFrame:
+    """Add running counts and remembered values over the whole document, this line included.
 
-
-def _counted(rows: DataFrame, **flags: Column) -> DataFrame:
-    """Add running counts over the whole document, this line included."""
+    A flag gives the number of lines where it held. A value, ``(where, value)``,
+    is that of the last line where the condition held; a flag's name stands for
+    its count at that line. Inside the block counts start at 0; what the blocks
+    before add up to is found on one narrow row a block, for counts and values
+    alike, and joined once.
+    """
     rows = rows.withColumns({f"__{n}": F.coalesce(f, F.lit(False)).cast("bigint") for n, f in flags.items()})
-    rows = _carried(
-        rows, [F.sum(f"__{n}").alias(f"__{n}_sum") for n in flags],
-        [F.coalesce(F.sum(f"__{n}_sum").over(_earlier()), F.lit(0)).alias(f"__{n}_base") for n in flags],
-    )
-    out = {n: F.sum(f"__{n}").over(_so_far()) + F.col(f"__{n}_base") for n in flags}
-    return rows.withColumns(out).drop(*[f"__{n}{x}" for n in flags for x in ("", "_base")])
+    rows = rows.withColumns({f"__{n}_own": F.sum(f"__{n}").over(_so_far()) for n in flags})
+    held = {n: F.when(w, F.struct((F.col(f"__{v}_own") if isinstance(v, str) else v).alias("v"))) for n, (w, v) in values.items()}
+    rows = rows.withColumns({f"__{n}_own": F.last(h, ignorenulls=True).over(_so_far()) for n, h in held.items()})
 
+    def whole(name: str, v: Column | str) -> Column:
+        """A value of this block, its count carried on from the blocks before."""
+        c = F.col(name)
+        return F.when(c.isNotNull(), F.struct((c["v"] + F.col(f"__{v}_base")).alias("v"))) if isinstance(v, str) else c
 
-def _remembered(rows: DataFrame, **values: tuple[Column, Column]) -> DataFrame:
-    """Add, for each ``name=(where, value)``, the value at the last line, this one included, where the condition held."""
-    rows = rows.withColumns({f"__{n}": F.when(w, F.struct(v.alias("v"))) for n, (w, v) in values.items()})
-    rows = rows.withColumns({f"__{n}_own": F.last(f"__{n}", ignorenulls=True).over(_so_far()) for n in values})
-    rows = _carried(
-        rows, [F.max_by(f"__{n}_own", "i").alias(f"__{n}_end") for n in values],
-        [F.last(f"__{n}_end", ignorenulls=True).over(_earlier()).alias(f"__{n}_base") for n in values],
+    per_block = rows.groupBy(*_BLOCK).agg(
+        *[F.sum(f"__{n}").alias(f"__{n}_sum") for n in flags], *[F.max_by(f"__{n}_own", "i").alias(f"__{n}_end") for n in values]
     )
-    out = {n: F.coalesce(f"__{n}_own", f"__{n}_base")["v"] for n in values}
-    return rows.withColumns(out).drop(*[f"__{n}{x}" for n in values for x in ("", "_own", "_base")])
+    per_block = per_block.withColumns({f"__{n}_base": F.coalesce(F.sum(f"__{n}_sum").over(_earlier()), F.lit(0)) for n in flags})
+    carried = [F.last(whole(f"__{n}_end", v), ignorenulls=True).over(_earlier()).alias(f"__{n}_base") for n, (_, v) in values.items()]
+    rows = rows.join(per_block.select(*_BLOCK, *[f"__{n}_base" for n in flags], *carried), _BLOCK)
+    out = {n: F.col(f"__{n}_own") + F.col(f"__{n}_base") for n in flags}
+    out |= {n: F.coalesce(whole(f"__{n}_own", v), F.col(f"__{n}_base"))["v"] for n, (_, v) in values.items()}
+    return rows.withColumns(out).drop(*[f"__{n}{x}" for n in [*flags, *values] for x in ("", "_own", "_base")])
 
 
 def _titled(rows: DataFrame) -> DataFrame:
@@ -126,22 +128,24 @@ def parse_blocks(blocks: DataFrame) -> Parts:
     without articles are not listed. A null text has no lines.
     """
     is_ = lambda *classes: F.col("class").isin(*classes)
-    rows = _titled(_body_lines(blocks))
+    # Written: each pass reads the lines twice, for what a block adds up to without their text.
+    rows = _titled(written(_body_lines(blocks), "body"))
     content = is_("K", "P", "X")
-    rows = _counted(rows, chapter=is_("C"), article=is_("A"), content=content)
-    rows = _remembered(
-        rows,
-        section=(is_("C", "S"), F.when(is_("S"), F.col("line"))),
-        above=(is_("C"), F.col("article")),  # articles before the chapter
-        began=(is_("A"), F.col("content")),  # content lines before the article
-        within=(is_("A"), F.col("chapter")),  # the article's chapter
+    rows = _followed(
+        rows, {"chapter": is_("C"), "article": is_("A"), "content": content},
+        {
+            "section": (is_("C", "S"), F.when(is_("S"), F.col("line"))),
+            "above": (is_("C"), "article"),  # articles before the chapter
+            "began": (is_("A"), "content"),  # content lines before the article
+            "within": (is_("A"), "chapter"),  # the article's chapter
+        },
     )
     # Content belongs to the last article, whatever headings stand between; its first line opens a clause.
     owned = content & (F.col("article") > 0)
     opens = owned & (is_("K") | (F.col("content") == F.col("began") + 1))
-    rows = _counted(rows.withColumn("opens", opens), clause=F.col("opens"), letter=owned & is_("P") & ~opens)
-    rows = _remembered(
-        rows, clause_base=(is_("A"), F.col("clause")), letter_base=(F.col("opens"), F.col("letter")),
+    rows = _followed(
+        rows.withColumn("opens", opens), {"clause": F.col("opens"), "letter": owned & is_("P") & ~F.col("opens")},
+        {"clause_base": (is_("A"), "clause"), "letter_base": (F.col("opens"), "letter")},
     )
     rows = written(rows.where((F.col("article") > 0) | is_("C", "T")), "lines")
     at = lambda *c: F.min_by(*c)
@@ -161,11 +165,10 @@ def parse_blocks(blocks: DataFrame) -> Parts:
         (F.col("clause") - F.col("clause_base") - 1).alias("clause_pos"),
         (F.col("letter") - F.col("letter_base") - 1).alias("point_pos"),
     )
-    order = F.struct("block", "i")
     # What is gathered is one clause's opening or one point.
     pieces = inside.groupBy("doc_id", "article", "clause_pos", "point_pos").agg(
-        F.array_sort(F.collect_list(F.struct("block", "i", "line"))).alias("p"), at(F.struct("line", "class"), order).alias("first"),
-    )
+        F.array_sort(F.collect_list(F.struct("block", "i", "line", "class"))).alias("p"),
+    ).withColumn("first", F.get("p", F.lit(0)))
     rest = F.array_join(F.concat(F.array(F.lit("")), F.transform(F.slice("p", 2, F.size("p")), lambda x: x["line"])), " ")
     numbered = F.col("first.class") == "K"
     opening = F.when(numbered, F.regexp_replace("first.line", "^" + CLAUSE_LINE, "")).otherwise(F.col("first.line"))

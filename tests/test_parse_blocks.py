@@ -45,3 +45,18 @@ def test_equals_whole_texts(docs, size):
     assert _rows(got.clauses, c) == _rows(parse.explode_clauses(tree), c)
     p = ["doc_id", *long("chapter_pos", "article_pos", "clause_pos", "point_pos"), "article_number", "clause_number", "point", "content"]
     assert _rows(got.points, p) == _rows(parse.explode_points(tree), p)
+
+
+def test_lines_are_found_once_and_carried_in_three_passes(spark, docs, monkeypatch):
+    """Blocks and lines are written, not cut and classed again by each pass; counts and values share a pass."""
+    plans, plain = {}, parse_blocks.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(parse_blocks, "written", noted)
+    parse_blocks.parse_blocks(parse_blocks.cut(docs, 5))
+    assert list(plans) == ["blocks", "body", "lines"]
+    assert plans["lines"].count("Generate ") == 0
+    assert plans["lines"].count("Join ") <= 7  # three passes, each adding up what those before it gave; there were 63 joins
