@@ -38,12 +38,17 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def tokens(text: Column) -> Column:
-    """Lexical tokens: lower case, non-word characters deleted, split on space.
+def word_text(text: Column) -> Column:
+    """Lower case, non-word characters deleted.
 
-    Characters are deleted and not replaced by a blank: ``a/b`` gives ``ab``.
+    They are deleted and not replaced by a blank: ``a/b`` gives ``ab``.
     """
-    return words(F.regexp_replace(F.lower(text), _NOT_WORD, ""))
+    return F.regexp_replace(F.lower(text), _NOT_WORD, "")
+
+
+def tokens(text: Column) -> Column:
+    """Lexical tokens: ``word_text`` split on space."""
+    return words(word_text(text))
 
 
 def lines(text: Column) -> Column:

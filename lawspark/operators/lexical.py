@@ -3,27 +3,36 @@
 A model is two tables: ``stats(doc_count, total_len, avgdl)``, one row, and
 ``vocab(term, df, idf[, term_id])``. Term counts are made inside the row, so a
 corpus is shuffled by term for the statistics and not at all for the counts.
+Where a model and vectors are made of the same texts, the written table of
+``term_counts`` stands for the texts, which are tokenised once.
 The vocabulary grows with the corpus and is never broadcast by hint: it is a
 written table, whose size Spark knows when it picks the join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawspark.functions import text as tx
-from lawspark.functions.text import let, segment, tokens
+from lawspark.functions.text import let, segment, tokens, word_text
 from lawspark.session import scratch_dir, written
 
 # BM25 constants.
 K1 = 1.5
 B = 0.75
 
+SLICE = 1 << 20  # bytes of text whose counts are in memory at once, about
+
 Segmenter = Callable[[], Callable[[list[str]], list[str]]]
 
 
@@ -48,15 +57,43 @@ def tokenise(
     return docs.select(id_col, tokens(text).alias("tokens"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, text)``, the text as ``word_text`` leaves it, to ``(id, doc_len, term_counts)``."""
+    for b in batches:
+        size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            own = b.slice(at, end - at)
+            # Whitespace of Python is the set that ``tokens`` splits at.
+            counts = [Counter(t.split()) for t in own.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, counts)], dtype=np.int32)
+            listed = pa.StructArray.from_arrays(
+                [pa.array(list(chain.from_iterable(counts)), pa.string()),
+                 pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64())],
+                names=["term", "tf"],
+            )
+            yield pa.record_batch(
+                [own.column(0), pa.array([c.total() for c in counts], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), listed)],
+                names=[b.schema.names[0], "doc_len", "term_counts"],
+            )
+
+
 def term_counts(
     docs: DataFrame, id_col: str, text_col: str = "text", segmenter: Segmenter | None = None
 ) -> DataFrame:
-    """``(id, doc_len, term_counts array<struct<term,tf>>)``, one row per text."""
-    t = tokenise(docs, id_col, text_col, segmenter)
-    return t.select(
-        id_col, F.size("tokens").cast("bigint").alias("doc_len"),
-        tx.term_counts(F.col("tokens")).alias("term_counts"),
-    )
+    """``(id, doc_len, term_counts array<struct<term,tf>>)``, one row per text, its terms in no order.
+
+    ``docs`` that hold these columns are taken as they are: all that needs
+    counts takes a (written) table of them in the place of the texts.
+    """
+    if "term_counts" in docs.columns:
+        return docs.select(id_col, "doc_len", "term_counts")
+    text = segment(F.coalesce(F.col(text_col), F.lit("")), segmenter)
+    kept = docs.select(id_col, word_text(text).alias("__text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return kept.mapInArrow(_counted, f"`{id_col}` {kind}, doc_len bigint, term_counts array<struct<term:string,tf:bigint>>")
 
 
 def distinct_terms(tokenised: DataFrame) -> DataFrame:
@@ -95,11 +132,11 @@ def corpus_counts(
     the number and length of the texts (empty ones included). Counts of
     disjoint corpora add up, and those of removed texts can be taken off.
     """
-    t = tokenise(docs.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
+    counts = term_counts(docs.withColumn("__id", F.lit(0)), "__id", text_col, segmenter)
     text_itself = F.array(F.lit(None).cast("string"))
-    listed = t.select(
-        F.size("tokens").alias("len"),
-        F.explode_outer(F.concat(text_itself, F.array_distinct("tokens"))).alias("term"),
+    listed = counts.select(
+        F.col("doc_len").alias("len"),
+        F.explode_outer(F.concat(text_itself, F.col("term_counts.term"))).alias("term"),
     )
     if only_terms is not None:
         itself = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))
@@ -137,8 +174,9 @@ def fit(
 ) -> BM25Model:
     """Statistics and idf of a corpus, in one pass over it.
 
-    The counts are written to the shared scratch folder, so that every use
-    reads them and Spark knows their size when it plans joins with them.
+    ``docs`` are texts, or ``term_counts`` of texts. What is counted over all of
+    them is written to the shared scratch folder, so that every use
+    reads it and Spark knows its size when it plans joins with it.
 
     ``only_terms(term)`` keeps the vocabulary to the terms a search asks for:
     weights of other terms never enter a dot product, so results are the same.
@@ -229,7 +267,7 @@ def sparse_vectors(
     its text has distinct terms.
     """
     post = weights(docs, model, id_col, text_col, segmenter)
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.col("weight").alias("w"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("i"), F.col("weight").alias("w"))))
     vec = post.groupBy(id_col).agg(pairs.alias("p")).select(
         id_col, F.col("p.i").alias("indices"), F.col("p.w").alias("values")
     )
@@ -252,21 +290,17 @@ def search_vectors(
     text_col: str = "text",
     segmenter: Segmenter | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a search over texts that have no stored vectors.
+    """Both sides of a search over texts (or their ``term_counts``) that have no stored vectors.
 
     The dot product is a sum of ``(query weight * idf) * (document weight / idf)``.
     With the idf on the side of the few queries, the document side needs no
     vocabulary: it is made inside the row, and the corpus is not shuffled.
     """
-    t = tokenise(docs, id_col, text_col, segmenter)
-    norm = _norm(F.size("tokens"), model)
-    parts = let(norm, lambda n: F.transform(
-        tx.term_counts(F.col("tokens")),
-        lambda c: F.struct(c["term"].alias("term"), _saturated(c["tf"], n, model).alias("w")),
+    counts = term_counts(docs, id_col, text_col, segmenter)
+    share = let(_norm(F.col("doc_len"), model), lambda n: F.transform(
+        F.col("term_counts.tf"), lambda tf: _saturated(tf, n, model)
     ))
-    items = t.select(id_col, parts.alias("p")).select(
-        id_col, F.col("p.term").alias("indices"), F.col("p.w").alias("values")
-    )
+    items = counts.select(id_col, F.col("term_counts.term").alias("indices"), share.alias("values"))
     post = weights(queries, model, query_id, text_col, segmenter)
     q = post.groupBy(query_id).agg(
         F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("w"))).alias("p")

@@ -53,8 +53,8 @@ def bm25_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_sparse_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
-    v = lexical.sparse_vectors(docs, lexical.fit(docs), "doc_id", key="term", keep_empty=False)
+    counts = written(lexical.term_counts(documents(spark, sf), "doc_id"), "counts")
+    v = lexical.sparse_vectors(counts, lexical.fit(counts), "doc_id", key="term", keep_empty=False)
     post = v.select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("p"))
     return post.select("doc_id", F.col("p.indices").alias("term"), r6("p.values").alias("weight"))
 

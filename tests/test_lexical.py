@@ -131,3 +131,36 @@ def test_segmenter_is_used(spark, docs):
 
     terms = {r.term for r in lexical.fit(docs, segmenter=open_segmenter).vocab.collect()}
     assert "a_b" in terms
+
+
+def test_counts_stand_for_the_texts(spark):
+    """Model, vectors and search of a table of counts are those of the texts; repeated and null ids are rows like others."""
+    rows = [*enumerate(TEXTS), (1, "b B other"), (None, "É é b\x1cb"), (None, None), (7, " .,; ")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    counts = lexical.term_counts(texts, "id")
+    for r in counts.where("id = 1").collect():
+        assert r.doc_len == sum(c.tf for c in r.term_counts)
+    plain = sorted((i is None, i or 0, sorted(Counter(tokens(t or "")).items())) for i, t in rows)
+    assert sorted((r.id is None, r.id or 0, sorted((c.term, c.tf) for c in r.term_counts)) for r in counts.collect()) == plain
+    a, b = lexical.fit(texts), lexical.fit(counts)
+    assert tuple(a.stats.first()) == tuple(b.stats.first())
+    assert sorted(map(tuple, a.vocab.collect())) == sorted(map(tuple, b.vocab.collect()))
+
+    def vectors(docs, model):
+        rows = lexical.sparse_vectors(docs, model, "id", key="term").collect()
+        return sorted(map(str, rows))
+
+    assert vectors(texts, a) == vectors(counts, b)
+    asked = spark.createDataFrame([(0, "b é gap")], "q bigint, text string")
+    one, two = (lexical.search_vectors(d, asked, a, "id", "q")[0] for d in (texts, counts))
+    values = lambda df: sorted(str((r.id, sorted(zip(r.indices, r["values"])))) for r in df.collect())
+    assert values(one) == values(two)
+
+
+def test_slices_lose_no_text(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SLICE", 7)
+    b = lexical.pa.record_batch([lexical.pa.array(range(6)), lexical.pa.array(TEXTS)], names=["id", "text"])
+    parts = list(lexical._counted([b, b.slice(0, 0)]))
+    assert len(parts) > 2
+    got = [(r["id"], r["doc_len"]) for p in parts for r in p.to_pylist()]
+    assert got == [(i, len(t.split())) for i, t in enumerate(TEXTS)]
