@@ -644,8 +644,8 @@ def _chunk_results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "chunks",
     )
     bench = table(spark, sf, "benchmark").select("item_id", "text")
-    texts = chunks.select("key", "text")
-    sides = lexical.search_vectors(texts, bench, _model_for(texts, bench), "key", "item_id")
+    counts = written(lexical.term_counts(chunks, "key"), "counts")
+    sides = lexical.search_vectors(counts, bench, _model_for(counts, bench), "key", "item_id")
     found = written(search.sparse_search(*sides), "found")
     return bench.withColumnRenamed("item_id", "query_id"), search.with_payload(found, chunks, "key")
 
