@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawspark.functions.text import WS, lines, roman_to_int
+from lawspark.functions.text import WS, let, lines, roman_to_int
 from lawspark.schemas import CHAPTERS, REFERENCES
 
 # What marks the parts of a statute.
@@ -26,12 +26,13 @@ CLAUSE_LINE = rf"(\p{{Nd}}+)\.[{WS}]+"
 POINT_LINE = rf"(?iu)([a-zđ]+)\)[{WS}]+"
 
 # Line classes, first match wins. Every line is stored as "\n" + class + line.
+# The pattern is only tried on lines with one of the starts and with the sign.
 _CLASSES = (
-    ("C", CHAPTER_LINE),
-    ("S", SECTION_LINE),
-    ("A", ARTICLE_LINE),
-    ("K", CLAUSE_LINE),
-    ("P", POINT_LINE),
+    ("C", CHAPTER_LINE, ("C", "c"), None),
+    ("S", SECTION_LINE, ("M", "m"), "."),
+    ("A", ARTICLE_LINE, ("Đ", "đ"), "."),
+    ("K", CLAUSE_LINE, (), "."),
+    ("P", POINT_LINE, (), ")"),
 )
 _TEXT = "X"
 
@@ -72,8 +73,13 @@ def document_title(preamble_lines: Column) -> Column:
 def line_class(line: Column) -> Column:
     """The letter of a line, by itself."""
     cls = F.lit(_TEXT)
-    for letter, pattern in reversed(_CLASSES):
-        cls = F.when(line.rlike("^" + pattern), F.lit(letter)).otherwise(cls)
+    for letter, pattern, starts, sign in reversed(_CLASSES):
+        fits = line.rlike("^" + pattern)
+        if sign:
+            fits = line.contains(sign) & fits
+        if starts:
+            fits = _any_of([line.startswith(x) for x in starts]) & fits
+        cls = F.when(fits, F.lit(letter)).otherwise(cls)
     return cls
 
 
@@ -91,80 +97,106 @@ def tagged_body(body: Column) -> Column:
     return F.regexp_replace(tagged, "\nC([^\n]*)\n.([^\n]*)", "\nC$1\nT$2")
 
 
+def _cut(text: Column, classes: str) -> Column:
+    """Segments that begin with a line of these classes; before them what precedes the first, perhaps nothing.
+
+    The break is part of the match and put back: a bare look-ahead is tried in full at each character.
+    """
+    return F.transform(
+        F.split(text, f"\n(?=[{classes}])"), lambda x, i: F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)
+    )
+
+
 def _settle(segment: Column) -> Column:
     """Put the content of an article before the headings that follow it.
 
     A chapter or section line does not close the article above it. Text before
     the first article belongs to nothing and is left out.
     """
+    article = segment.startswith("\nA")
+    has_heading = _any_of([segment.contains(f"\n{c}") for c in "CTS"])
     headings = F.regexp_replace(segment, "\n[AKPX][^\n]*", "")
     content = F.regexp_replace(segment, "\n[CTS][^\n]*", "")
-    return F.when(segment.startswith("\nA"), F.concat(content, headings)).otherwise(headings)
+    return F.when(article & ~has_heading, segment).when(article, F.concat(content, headings)).otherwise(headings)
 
 
 def settled_body(tagged: Column) -> Column:
-    return F.array_join(F.transform(F.split(tagged, "(?=\nA)"), _settle), "")
+    return F.array_join(F.transform(_cut(tagged, "A"), _settle), "")
+
 
+_ALL = (1 << 31) - 1
 
-def _number(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, pattern, 1).try_cast("bigint")
 
+def _first(seg: Column) -> Column:
+    """The first line of a segment, with its break and class."""
+    return F.substring_index(seg, "\n", 2)
 
-def _joined(content: Column, head: str) -> Column:
+
+def _rest(seg: Column, first: Column) -> Column:
+    return F.substring(seg, F.length(first) + 1, F.lit(_ALL))
+
+
+def _number(line: Column, pattern: str) -> Column:
+    return F.regexp_extract(line, pattern, 1).try_cast("bigint")
+
+
+def _joined(seg: Column, first: Column, head: str) -> Column:
     """Text after the opening mark, later lines appended with a blank."""
-    return F.regexp_replace(F.regexp_replace(content, head, ""), "\n.", " ")
+    return F.concat(F.regexp_replace(first, head, ""), F.regexp_replace(_rest(seg, first), "\n.", " "))
 
 
 def _point(seg: Column) -> Column:
     head = "^\nP" + POINT_LINE
-    return F.struct(
-        F.regexp_extract(seg, head, 1).alias("point"),
-        _joined(seg, head).alias("content"),
+    return let(_first(seg), lambda first: F.struct(
+        F.regexp_extract(first, head, 1).alias("point"),
+        _joined(seg, first, head).alias("content"),
         F.lit(None).cast(REFERENCES).alias("references"),
-    )
+    ))
 
 
 def _clause(seg: Column) -> Column:
-    numbered = seg.startswith("\nK")
-    parts = F.split(seg, "(?=\nP)")
-    head = F.get(parts, F.lit(0))
-    return F.struct(
-        F.when(numbered, _number(seg, "^\nK" + CLAUSE_LINE))
-        .otherwise(F.lit(0).cast("bigint")).alias("clause_number"),
-        F.when(numbered, _joined(head, "^\nK" + CLAUSE_LINE))
-        .otherwise(_joined(head, "^\nI")).alias("content"),
-        F.lit(None).cast(REFERENCES).alias("references"),
-        F.transform(F.filter(parts, lambda p: p.startswith("\nP")), _point).alias("points"),
-    )
+    mark = "^\nK" + CLAUSE_LINE
 
+    def of(parts: Column, head: Column, first: Column) -> Column:
+        numbered = first.startswith("\nK")
+        return F.struct(
+            F.when(numbered, _number(first, mark)).otherwise(F.lit(0).cast("bigint")).alias("clause_number"),
+            F.when(numbered, _joined(head, first, mark)).otherwise(_joined(head, first, "^\nI")).alias("content"),
+            F.lit(None).cast(REFERENCES).alias("references"),
+            F.transform(F.filter(parts, lambda p: p.startswith("\nP")), _point).alias("points"),
+        )
 
-def _article(seg: Column, section: Column) -> Column:
-    content = F.regexp_replace(seg, "^\nA[^\n]*", "")
-    # Content that does not open with a numbered clause is the implicit clause 0.
-    content = F.regexp_replace(content, "^\n[PX]", "\nI")
-    clauses = F.array_remove(F.split(content, "(?=\n[KI])"), "")
-    return F.struct(
-        _number(seg, "^\nA" + ARTICLE_LINE).alias("article_number"),
-        F.regexp_extract(seg, "^\nA([^\n]*)", 1).alias("article_title"),
-        F.when(
-            section.startswith("\nS"), F.regexp_extract(section, "^\nS([^\n]*)", 1)
-        ).alias("category"),
-        F.transform(clauses, _clause).alias("clauses"),
-    )
+    return let(_cut(seg, "P"), lambda parts: let(
+        F.get(parts, F.lit(0)), lambda head: let(_first(head), lambda first: of(parts, head, first))
+    ))
+
+
+def _article(seg: Column, category: Column) -> Column:
+    def clauses(content: Column) -> Column:
+        # Content that does not open with a numbered clause is the implicit clause 0.
+        implicit = content.startswith("\nP") | content.startswith("\nX")
+        marked = F.when(implicit, F.concat(F.lit("\nI"), F.substring(content, 3, _ALL))).otherwise(content)
+        return F.transform(F.array_remove(_cut(marked, "KI"), ""), _clause)
+
+    return let(_first(seg), lambda first: F.struct(
+        _number(first, "^\nA" + ARTICLE_LINE).alias("article_number"),
+        F.substring(first, 3, _ALL).alias("article_title"),
+        category.alias("category"),
+        let(_rest(seg, first), clauses).alias("clauses"),
+    ))
 
 
 def _chapter(seg: Column) -> Column:
-    articles = F.transform(
-        F.split(seg, "(?=\nS)"),
-        lambda section: F.transform(
-            F.filter(F.split(section, "(?=\nA)"), lambda a: a.startswith("\nA")),
-            lambda a: _article(a, section),
-        ),
-    )
+    def of_section(section: Column) -> Column:
+        category = F.when(section.startswith("\nS"), F.substring(_first(section), 3, _ALL))
+        return let(category, lambda own: F.transform(
+            F.filter(_cut(section, "A"), lambda a: a.startswith("\nA")), lambda a: _article(a, own)
+        ))
+
     return F.struct(
-        roman_to_int(F.regexp_extract(seg, "^\nC" + CHAPTER_LINE, 1)).alias("chapter_number"),
-        F.regexp_extract(seg, "^\nC[^\n]*\nT([^\n]*)", 1).alias("chapter_title"),
-        F.flatten(articles).alias("articles"),
+        roman_to_int(F.regexp_extract(_first(seg), "^\nC" + CHAPTER_LINE, 1)).alias("chapter_number"),
+        F.regexp_extract(F.substring_index(seg, "\n", 3), "^\nC[^\n]*\nT([^\n]*)", 1).alias("chapter_title"),
+        F.flatten(F.transform(_cut(seg, "S"), of_section)).alias("articles"),
     )
 
 
@@ -182,7 +214,7 @@ def parse_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     settled = split.select(*kept, "__preamble", settled_body(F.col("__tagged")).alias("__settled"))
     chapters = F.transform(
-        F.filter(F.split("__settled", "(?=\nC)"), lambda s: s.startswith("\nC")), _chapter
+        F.filter(_cut(F.col("__settled"), "C"), lambda s: s.startswith("\nC")), _chapter
     )
     return settled.select(
         *kept,

@@ -121,3 +121,21 @@ def test_parse_is_a_map(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
     plan = parse_documents(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_segments_are_cut_at_the_break_and_keep_it(spark):
+    from lawspark.operators.parse import _cut
+
+    df = spark.createDataFrame([(0, "\nAx\nXy\nAz"), (1, "\nCq\nTr"), (2, ""), (3, "\nK1\nI2\nXA\nKA")], "i int, s string")
+    got = {r.i: (r.a, r.k) for r in df.select("i", _cut(F.col("s"), "A").alias("a"), _cut(F.col("s"), "KI").alias("k")).collect()}
+    assert got[0] == (["", "\nAx\nXy", "\nAz"], ["\nAx\nXy\nAz"])
+    assert got[1] == (["\nCq\nTr"], ["\nCq\nTr"])
+    assert got[2] == ([""], [""])
+    assert got[3] == (["\nK1\nI2\nXA\nKA"], ["", "\nK1", "\nI2\nXA", "\nKA"])
+
+
+def test_marks_that_only_case_folding_or_unicode_digits_find(parse):
+    t = parse("Chương I\nx\nĐiều 1. q\n1. one\nK) kelvin\nſ) long s\n٣. three\nm) x")
+    assert outline(t) == [(1, "x", [(1, None, [
+        (1, "one", [("K", "kelvin"), ("ſ", "long s")]), (None, "three", [("m", "x")])
+    ])])]
